@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 from functools import lru_cache
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,10 @@ from pointweave.llm.common import arrow_map, slices
 
 SPACE = "▁"
 #: Chunks whose ids a worker keeps; then it starts anew.
-CACHE = 300_000
+CACHE = 400_000
+#: Words of fewer characters go through their agendas together.
+WIDEST = 28
+NEVER = 2**31 - 1
 
 
 class PieceCodec:
@@ -41,11 +46,28 @@ class PieceCodec:
         self.byte_ids = {int(sp.id_to_piece(i)[1:-1], 16): i for i in ids if sp.is_byte(i)}
         self.text_of = {i: sp.id_to_piece(i).replace(SPACE, " ") for i in plain}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        # of pieces whose text doesn't depend on others
+        self.quick = self.text_of | {i: chr(b) for i, b in self.byte_of.items() if b < 128}
         self.unknown = sp.unk_id()
+        self.names = [str(i) for i in ids]
+        # each way to make a piece of two symbols (pieces or single characters): the symbols' numbers, the piece, best score first
+        self.first = len(self.names)  # a character that is no piece has its code point after the pieces
+        number = lambda x: self.ids.get(x, self.first + ord(x) if len(x) == 1 else None)
+        made = [(a, b, i) for x, i in self.ids.items() for k in range(1, len(x)) if (a := number(x[:k])) is not None and (b := number(x[k:])) is not None]
+        pairs = np.array(made, dtype=np.int64).reshape(-1, 3)
+        key = pairs[:, 0] << 32 | pairs[:, 1]
+        order = np.argsort(key)
+        self.pair_key, self.pair_piece = key[order], pairs[order, 2]
+        rank = np.argsort(np.argsort([-sp.get_score(i) for i in ids], kind="stable"), kind="stable")
+        self.rank = np.append(rank, NEVER).astype(np.int32)  # the last stands for no piece
+        self.symbol = np.arange(0x110000, dtype=np.int64) + self.first
+        for x, i in self.ids.items():
+            if len(x) == 1:
+                self.symbol[ord(x)] = i
         self.joined = {pair for piece in self.ids for pair in zip(piece, piece[1:], strict=False)}
         self.words_apart = all(b != SPACE or a == SPACE for a, b in self.joined)
         self.csv: dict[str, str] = {}
-        self.plain: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # decoded text of words that don't come back as they were
         self.parts: dict[str, list[int]] = {}
 
     def merge(self, symbols: str) -> list[int]:
@@ -117,22 +139,91 @@ class PieceCodec:
         """Text of ids: pieces in a row, byte pieces as UTF-8, without the space put before the text."""
         return self.pieces_text(ids).removeprefix(" ")
 
+    def pair_pieces(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make, or -1."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        return np.where(self.pair_key[at] == key, self.pair_piece[at], -1)
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """merge() of many words of at most WIDEST characters: their agendas advance together, a best pair of each word at a time."""
+        out: list[list[int]] = [[] for _ in words]
+        if not len(self.pair_key):
+            return [self.merge(w) for w in words]
+        lengths = np.array([len(w) for w in words])
+        low = 0
+        for wide in (6, 9, 13, 18, WIDEST):
+            rows = np.flatnonzero((lengths > low) & (lengths <= wide))
+            low = wide
+            if not len(rows):
+                continue
+            code = np.frombuffer("".join(words[k].ljust(wide, "\0") for k in rows).encode("utf-32-le"), dtype="<u4").reshape(len(rows), wide)
+            symbols = self.symbol[code]
+            n = lengths[rows].copy()
+            made = np.full((len(rows), wide), -1, dtype=np.int64)
+            made[:, :-1] = self.pair_pieces(symbols[:, :-1], symbols[:, 1:])
+            made[np.arange(wide)[None, :] >= (n - 1)[:, None]] = -1
+            rank = self.rank[made]
+            done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            place = np.arange(wide)
+            while len(rows):
+                best = rank.argmin(axis=1)  # the leftmost of equal ones
+                each = np.arange(len(rows))
+                go = rank[each, best] < NEVER
+                if not go.all():
+                    done.append((rows[~go], symbols[~go], n[~go]))
+                    rows, symbols, made, rank, n, best = rows[go], symbols[go], made[go], rank[go], n[go], best[go]
+                    if not len(rows):
+                        break
+                    each = np.arange(len(rows))
+                symbols[each, best] = made[each, best]
+                # what stands after the merged pair moves one place to the left
+                source = np.minimum(place[None, :] + (place[None, :] > best[:, None]), wide - 1)
+                symbols = np.take_along_axis(symbols, source, 1)
+                made = np.take_along_axis(made, source, 1)
+                rank = np.take_along_axis(rank, source, 1)
+                n -= 1
+                for at in (best - 1, best):  # the pairs on both sides of the new symbol
+                    there = np.flatnonzero((at >= 0) & (at < n - 1))
+                    k = at[there]
+                    made[there, k] = found = self.pair_pieces(symbols[there, k], symbols[there, k + 1])
+                    rank[there, k] = self.rank[found]
+                gone = np.flatnonzero(best >= n - 1)
+                made[gone, best[gone]], rank[gone, best[gone]] = -1, NEVER
+                made[each, n - 1], rank[each, n - 1] = -1, NEVER
+            for own, found, size in done:
+                for k, x, m in zip(own.tolist(), found.tolist(), size.tolist(), strict=True):
+                    out[k] = x[:m]
+        first = self.first
+        for k, x in enumerate(out):
+            if x and max(x) >= first:
+                out[k] = [i for y in x for i in ([y] if y < first else [self.byte_ids[b] for b in chr(y - first).encode()] if self.byte_ids else [self.unknown])]
+        return out
+
     def learn(self, words: set[str]) -> None:
         if len(self.csv) + len(words) > CACHE:
-            for known in (self.csv, self.plain, self.parts):
-                known.clear()
-        own = sorted(words)
-        ids = [self.chunk_ids(SPACE + w) for w in own]
-        text = [self.pieces_text(x) for x in ids]
-        if self.check and own:
-            asked = [(w, x, t) for w, x, t in zip(own, ids, text, strict=True) if w]
-            theirs = self.library.encode([w for w, _, _ in asked], num_threads=1)
-            back = self.library.decode(theirs) if asked else []
-            for (w, x, t), y, u in zip(asked, theirs, back, strict=True):
-                if x != y or t.removeprefix(" ") != u:
-                    raise ValueError(f"the agenda and the library differ on {w[:80]!r}: {x[:40]} and {y[:40]}")
-        self.csv.update((w, ",".join(map(str, x))) for w, x in zip(own, ids, strict=True))
-        self.plain.update(zip(own, text, strict=True))
+            self.csv.clear()
+            self.odd.clear()
+            self.parts.clear()
+        short = [w for w in words if len(w) < WIDEST]
+        long = [w for w in words if len(w) >= WIDEST]
+        own = short + long
+        ids = self.merge_all([SPACE + w for w in short]) + [self.chunk_ids(SPACE + w) for w in long]
+        texts, back = self.quick, []
+        for x in ids:
+            try:
+                back.append("".join([texts[i] for i in x]))
+            except KeyError:
+                back.append(self.pieces_text(x))
+        if self.check:
+            for k in range(0, len(own), 5000):
+                flat = list(chain.from_iterable(ids[k : k + 5000]))
+                text = " ".join(own[k : k + 5000])
+                if flat != self.library.encode(text) or self.library.decode(flat) != "".join(back[k : k + 5000]).removeprefix(" "):
+                    raise ValueError(f"the agenda and the library differ on words of {text[:200]!r}")
+        names = self.names.__getitem__
+        self.csv.update((w, ",".join(map(names, x))) for w, x in zip(own, ids, strict=True))
+        self.odd.update((w, t) for w, t in zip(own, back, strict=True) if t[1:] != w)
 
     def digest(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by commas, decoded text) of each text."""
@@ -140,15 +231,14 @@ class PieceCodec:
         for text in texts:
             parts = text.split(" ") if text and self.words_apart and SPACE not in text else [""]
             split.append(None if "" in parts else parts)
-        new = {w for parts in split if parts for w in parts}.difference(self.csv)
-        if new:
-            self.learn(new)
-            if lost := {w for parts in split if parts for w in parts}.difference(self.csv):
-                self.learn(lost)
-        csv, plain, out = self.csv.__getitem__, self.plain.__getitem__, []
+        for _ in range(2):  # once more if the store started anew
+            if new := set(filterfalse(self.csv.__contains__, chain.from_iterable(filter(None, split)))):
+                self.learn(new)
+        csv, out = self.csv.__getitem__, []
         for text, parts in zip(texts, split, strict=True):
             if parts:
-                joined, decoded = ",".join(map(csv, parts)), "".join(map(plain, parts)).removeprefix(" ")
+                joined = ",".join(map(csv, parts))
+                decoded = text if self.odd.keys().isdisjoint(parts) else "".join([self.odd.get(w, " " + w) for w in parts]).removeprefix(" ")
             else:
                 ids = self.encode(text)
                 joined, decoded = ",".join(map(str, ids)), self.decode(ids)
