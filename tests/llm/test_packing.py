@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pointweave.llm import packing
@@ -67,3 +69,17 @@ def test_sequences_hold_the_ids(documents):
     got = packing.sequences(pieces).collect()
     assert sum(r.n_tokens for r in got) == sum(r.length for r in pieces.collect())
     assert all(len(r.ids) == 4 * r.n_tokens for r in got)
+
+
+def test_ids_are_the_library_s():
+    library, own = Tokenizer.from_file(PATH), packing.tokenizer(PATH)
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'sdreé.,1")), max_size=60))
+    def same(text):
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+    same()
+    for i in range(0, 50256, 7):
+        text = library.decode([i])
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
