@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,22 @@ def keep(cloud: DataFrame, condition: Column) -> DataFrame:
     return cloud.where(condition)
 
 
+def mapped(cloud: DataFrame, **columns: Column) -> DataFrame:
+    """Columns changed row by row, by expressions over the row."""
+    return cloud.withColumns(columns)
+
+
+def batched(cloud: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, prepare: Callable[[], None] | None = None) -> DataFrame:
+    """work on Arrow batches, in parallel; prepare runs once in each task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if prepare is not None:
+            prepare()
+        yield from map(work, parts)
+
+    return cloud.mapInPandas(run, schema)
+
+
 def valid_normals(cloud: DataFrame) -> DataFrame:
     """Points whose normal's squared length is over one half; NaN is no valid normal."""
     n2 = squared_norm()
@@ -100,3 +119,9 @@ def morton(u: Column, v: Column) -> Column:
 
 def binned_morton(y: Column, z: Column, y_min: float, z_min: float, cell: float) -> Column:
     return morton(((y - F.lit(float(y_min))) / F.lit(float(cell))).cast("long"), ((z - F.lit(float(z_min))) / F.lit(float(cell))).cast("long"))
+
+
+def morton_sorted(cloud: DataFrame, slice_key: Column, y_min: float, z_min: float, cell: float) -> DataFrame:
+    """Columns slice and morton, and rows in their order inside each partition; a slice's rows share a partition."""
+    keyed = cloud.withColumn("slice", slice_key).withColumn("morton", binned_morton(dbl("py"), dbl("pz"), y_min, z_min, cell))
+    return keyed.repartition("slice").sortWithinPartitions("slice", "morton", "id")

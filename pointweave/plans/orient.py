@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,10 +34,29 @@ def prepare(cloud: DataFrame, realign: bool = True) -> Prepared:
     return Prepared(ranked(turned, [F.col("px"), F.col("id")], "ord"), centre, rotation)
 
 
-def solve(edges: DataFrame, refine_rounds: int = 20) -> DataFrame:
-    """node, component, sign: the maximum spanning forest's signs, then single flips that lower the energy."""
-    _, solution = forest.spanning_forest(edges)
-    return refine.refined(edges, solution, refine_rounds) if refine_rounds else solution
+def forest_only(edges: DataFrame) -> DataFrame:
+    """The maximum spanning forest's signs, passed on in every component."""
+    return forest.spanning_forest(edges)[1]
+
+
+def forest_refined(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """The forest's signs, then single flips that lower the energy."""
+    return refine.refined(edges, forest_only(edges), rounds)
+
+
+def components_only(edges: DataFrame) -> DataFrame:
+    """All signs as they are; only components."""
+    return components.connected(edges.select(F.col("hi").alias("a"), F.col("lo").alias("b"))).withColumn("sign", F.lit(1))
+
+
+#: Solvers: from edges (hi, lo, weight) to node, component, sign.
+SOLVERS: dict[str, Callable[[DataFrame], DataFrame]] = {"forest": forest_only, "refined": forest_refined, "components": components_only}
+
+
+def solve(edges: DataFrame, solver: str = "refined") -> DataFrame:
+    if solver not in SOLVERS:
+        raise ValueError(f"unknown solver {solver!r}; there are {', '.join(SOLVERS)}")
+    return SOLVERS[solver](edges)
 
 
 def finished(points: DataFrame, min_extent: float | None, strict: bool) -> DataFrame:
@@ -46,29 +66,29 @@ def finished(points: DataFrame, min_extent: float | None, strict: bool) -> DataF
     return points.join(comps.select("component", "comp_rank"), "component")
 
 
-def orient_global(cloud: DataFrame, k: int = 6, radius: float = 1.0, criterion: str = "hoppe", min_extent: float | None = None, refine_rounds: int = 20) -> DataFrame:
+def orient_global(cloud: DataFrame, k: int = 6, radius: float = 1.0, criterion: str = "hoppe", min_extent: float | None = None, solver: str = "refined") -> DataFrame:
     """The cloud with normals of length 1 and consistent signs, white, with component and comp_rank.
 
     In each component the least id's normal keeps its sign. Components with an extent not over min_extent go (None: all stay).
     """
     cloud = transform.normalized(cloud)
     edges = stored(graph.neighbour_edges(neighbours(cloud, k, radius), criterion, radius), "edges")
-    points = transform.signed(cloud, solve(edges, refine_rounds))
+    points = transform.signed(cloud, solve(edges, solver))
     white = F.lit(255).cast("smallint")
     return finished(points.withColumns({"red": white, "green": white, "blue": white}), min_extent, strict=True)
 
 
-def orient_stream(cloud: DataFrame, k: int = 6, radius: float = 1.0, criterion: str = "hoppe", theta_s: float = 0.0, theta_acc: float = 0.5, min_extent: float | None = None, refine_rounds: int = 20, slab_points: int = segment.SLAB_POINTS) -> DataFrame:
+def orient_stream(cloud: DataFrame, k: int = 6, radius: float = 1.0, criterion: str = "hoppe", theta_s: float = 0.0, theta_acc: float = 0.5, min_extent: float | None = None, solver: str = "refined", slab_points: int = segment.SLAB_POINTS) -> DataFrame:
     """As orient_global, by a sweep along x: points gather in segments, and only the segments' graph is solved. Adds segment; colours tell the segments."""
     cloud = transform.normalized(cloud)
     near = stored(neighbours(cloud, k, radius, causal=True), "near")
-    return from_segments(cloud, near, k, radius, criterion, theta_s, theta_acc, min_extent, refine_rounds, slab_points)
+    return from_segments(cloud, near, k, radius, criterion, theta_s, theta_acc, min_extent, solver, slab_points)
 
 
-def from_segments(cloud: DataFrame, near: DataFrame, k: int, radius: float, criterion: str, theta_s: float, theta_acc: float, min_extent: float | None, refine_rounds: int, slab_points: int) -> DataFrame:
+def from_segments(cloud: DataFrame, near: DataFrame, k: int, radius: float, criterion: str, theta_s: float, theta_acc: float, min_extent: float | None, solver: str, slab_points: int) -> DataFrame:
     segments = stored(segment.segmented(cloud, near, criterion, radius, theta_s, theta_acc, slab_points), "segments")
     edges = stored(graph.segment_edges(near, segments, criterion, radius), "edges")
-    solution = solve(edges, refine_rounds).select(F.col("node").alias("segment"), "component", "sign")
+    solution = solve(edges, solver).select(F.col("node").alias("segment"), "component", "sign")
     both = segments.join(solution, "segment", "left").select("id", "segment", (F.col("flip") * F.coalesce("sign", F.lit(1))).alias("sign"), F.coalesce("component", "segment").alias("component"))
     points = cloud.drop("red", "green", "blue").join(both, "id").withColumns({c: F.col(c) * F.col("sign") for c in transform.NORMAL}).drop("sign")
     return finished(points.withColumns(transform.segment_color(F.col("segment"))), min_extent, strict=False)

@@ -23,7 +23,7 @@ HEADER_PROPERTIES = [("float", "x"), ("float", "y"), ("float", "z"), ("float", "
 
 
 def number(name: str) -> Column:
-    """Up to six significant digits, without trailing zeros: plain between 1e-4 and 1e6, else with an exponent of two digits or more."""
+    """Up to six significant digits (halves away from zero), without trailing zeros: plain between 1e-4 and 1e6, else with an exponent of two digits or more."""
     x = F.col(name).cast("double")
 
     def shown(e: Column) -> Column:
