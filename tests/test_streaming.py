@@ -1,4 +1,7 @@
+import time
+
 from makers import frame, sphere
+from pyspark.sql import functions as F
 
 from pointweave.operators import knn, transform
 from pointweave.plans import orient
@@ -6,7 +9,11 @@ from pointweave.streaming import sweep
 
 
 def files_in_x_order(spark, cloud, folder, n):
-    cloud.repartitionByRange(n, "px", "id").sortWithinPartitions("px", "id").write.parquet(folder)
+    """One file after the other, as a stream takes them in order of their times."""
+    for k in range(n):
+        low, high = -1 + 2 * k / n, -1 + 2 * (k + 1) / n
+        cloud.where((F.col("px") >= low) & ((F.col("px") < high) | F.lit(k == n - 1))).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
     return spark.readStream.schema(cloud.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
