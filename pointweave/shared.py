@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+#: Folders of applications that name none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests) a new local folder, which is then set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="pointweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """``spark.checkpoint.dir``, or the folder given to setCheckpointDir; only where neither is set (tests, one machine) a new local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="pointweave-")
+        base = _OWN[app]
     return base.rstrip("/")
 
 
