@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
+from pointweave.shared import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) a new local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="pointweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "shared_dir", "slices", "stored"]
 
 
 def arrow_map(make: Callable[[], Callable[[pa.RecordBatch], list]], names: list[str]) -> Callable:

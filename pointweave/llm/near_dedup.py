@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.llm.common import slices, stored
+from pointweave.operators.components import connected as components
 
 WORDS = 5
 #: Rows a block has at most in mean; a task compares two blocks at a time.
@@ -104,40 +105,6 @@ def sketches(docs: DataFrame, hashes: int, rows: int, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and component (the least node it reaches) of every node in edges (a, b), by alternating large-star and small-star.
-
-    Large-star ties a node's greater neighbours to its least neighbour (or itself), small-star its smaller neighbours and
-    itself; both only send minima, aggregated before the shuffle. Loops end when the edges no longer change. Null ends,
-    loops and repeated edges are ignored; no edges give no rows.
-    """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a != b").distinct()
-    edges = stored(edges, "edges")
-
-    def size(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    seen = size(edges)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        # every node's smaller neighbours and itself go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        if (now := size(edges)) == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    stars = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    roots = stars.select(F.col("component").alias("node"), "component").distinct()
-    return stars.union(roots)
-
-
 class Forest:
     """Union-find over a task's documents."""
 
