@@ -27,9 +27,9 @@ HIDDEN = {"head", "svg", "math", "select", "button", "object", "audio", "video",
 ASIDE = {"nav", "footer", "aside", "form", "menu"}
 MAIN = {"article", "main"}
 #: Words in class, id or role that name what isn't the article.
-_BESIDE = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|header|cookies?|consent|notice|alert|popup|modal|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|form|search|comments?|comment-list|replies|reply|disqus|contentinfo|complementary|widget|copyright|pagination|toolbar)(?:$|[-_\s])", re.I)
+_BESIDE = re.compile(r"(?:^|[-_\s])(?:ads?|adsby\w+|advert\w*|banner|sponsor\w*|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|header|cookies?|consent|notice|alert|popup|modal|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|form|search|comment\w*|replies|reply|respond|responses|disqus|discussion|gdpr|top-?bar|skip-link|contentinfo|complementary|widget|copyright|pagination|toolbar)(?:$|[-_\s])", re.I)
 #: Of these, what counts on a main element itself; what does not count inside one; and names of layouts, which say nothing.
-_BESIDE_MAIN = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|promo|sponsored|related|comments?|reply)(?:$|[-_\s])", re.I)
+_BESIDE_MAIN = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|promo|sponsor\w*|related|comment\w*|reply|replies)(?:$|[-_\s])", re.I)
 _HEADING = re.compile(r"(?:^|[-_\s])(?:header|masthead)(?:$|[-_\s])", re.I)
 _LAYOUT = re.compile(r"\b(?:has|with|no)[-_][-\w]+", re.I)
 _UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)

@@ -32,8 +32,9 @@ _BASE = np.uint64(0x100000001B3)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters (and of what counts as a letter in words, such as ²), in lower case; none if the text has no letter at all."""
+    own = _WORD.findall((text or "").lower())
+    return own if any(map(str.isalpha, own)) or any(c.isalpha() for w in own for c in w) else []
 
 
 class Pieces:

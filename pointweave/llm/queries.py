@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import fingerprints, html_extract, language_id, lm_scoring, near_dedup, packing, piece_codec, quality_classifier, quality_rules, url_filters
+from pointweave.llm import fingerprints, html_extract, language_id, lm_scoring, near_dedup, oracles, packing, piece_codec, quality_classifier, quality_rules, url_filters
 
 
 #: The listed rules of op2.
@@ -72,4 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": oracles.url_filters(URL_RULES, 0.002, 8, 0.6),
+    "op9_near_dedup": oracles.near_dedup(85),
+}

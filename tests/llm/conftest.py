@@ -5,7 +5,7 @@ SMALL = "/root/testdata/sf0.001"
 #: Cases that every operator on documents must stand: nulls, empty, blank, ties, repeated rows, odd characters, a long text.
 ODD_TEXTS = [
     None, "", " ", "\n", "a", "a a", "  lead", "trail  ", "a\n\n\nb", "tab\tb c", "\x00 \x1f x", "é é ﬁ ｆ", "▁x ▁▁", "\U0001f600 \U0001f9d1‍\U0001f680", "<|endoftext|> <s> <0x41>",
-    "one two three four", "ONE two THREE four", "one two three four five", "one two three four five six seven eight nine ten " * 30, "x" * 3000, "don't  stop\r\nnow", "　wide", "1234 5678,90.", "$$$ ### ||| <b>&amp;</b>", "的的的 语言",
+    "one two three four", "ONE two THREE four", "one two three four five", "one two three four five six seven eight nine ten " * 30, "x" * 3000, "don't  stop\r\nnow", "　wide", "1234 5678,90.", "$$$ ### ||| <b>&amp;</b>", "的的的 语言", "½ ² Ⅷ 12", "a½",
 ]
 
 

@@ -27,7 +27,7 @@ def test_what_is_not_the_article():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p > a{}</style><script>if (a < b) document.write("<p>no</p>")</script></head>
     <body class="has-sidebar"><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div class="cookie-notice"><p>We use cookies.</p></div>
     <article class="post"><header class="post-header"><h1>Title &amp; more</h1></header><p>One <a href="x">link</a>&nbsp;and&#32;text<br>goes   on.</p>
-    <div class="advert">Buy now</div><form><p>Your name</p></form><ul><li>Item<li>Next</ul><p>Tail<section id="comments"><h2>Comments</h2><p>Nice!</p></section></article>
+    <div class="advert">Buy now</div><form><p>Your name</p></form><ul><li>Item<li>Next</ul><p>Tail<section id="comments"><h2>Comments</h2><article class="comment"><p>Nice!</p></article></section><ol class="commentlist"><li>So-so</ol></article>
     <aside><p>Beside it</p></aside><footer>Foot</footer><noscript>No script</noscript></body></html>"""
     assert hx.main_text(page) == "Title & more\nOne link and text goes on.\nItem\nNext\nTail"
 
