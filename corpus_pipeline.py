@@ -20,8 +20,11 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def kept_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id decided (doc_id, kept) keeps, with the columns of docs."""
-    return docs.join(decided.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs whose doc_id (null is one, too) decided (doc_id, kept) keeps, with the columns of docs.
+
+    Rows that repeat a doc_id stay if any of them is kept."""
+    kept = decided.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
