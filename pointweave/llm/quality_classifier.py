@@ -7,6 +7,7 @@ the probability of the best grade.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,11 @@ BITS = 24
 #: Token hashes a worker keeps; then it starts anew.
 CACHE = 400_000
 GRADES = 3
+#: Lengths of words' starts, in bytes, and steps of how many different words of a text share one.
+STARTS = (5, 6, 7)
+STEPS = ((b"\x01", 1), (b"\x02", 2), (b"\x03", 4))
+#: Score-test value from which on a feature is used: with ten millions of features hardly one gets there by chance.
+LEAST_Z = 6.0
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 
 
@@ -37,7 +43,8 @@ TOKEN_HASHES = TokenHashes()
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Distinct hashed features of a whole text: its words (any case), runs of symbols, and steps of four shape ratios."""
+    """Distinct hashed features of a whole text: its words (any case), runs of symbols, starts of words with steps of how many
+    different words have them, and steps of five shape figures."""
     text = text or b""
     tokens = _TOKEN.findall(text.lower())
     get = TOKEN_HASHES.__getitem__
@@ -49,6 +56,9 @@ def features(text: bytes | None) -> np.ndarray:
     steps = (int(10 * upper / max(1, len(text))), int(20 * symbols / n), int(10 * len(kinds) / n), int(10 * len(set(lines)) / max(1, len(lines))), n.bit_length())
     own = {get(t) for t in kinds}
     own.update(get(b"\0%d:%d" % x) for x in enumerate(steps))
+    for length in STARTS:
+        for start, n in Counter([t[:length] for t in kinds if len(t) > length]).items():
+            own.update(get(mark + start) for mark, least in STEPS if n >= least)
     return np.fromiter(own, dtype=np.int32, count=len(own))
 
 
@@ -68,11 +78,19 @@ class CumulativeLink:
         self.index, self.weights, self.thresholds = index, weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, least: int = 4, rounds: int = 150, rate: float = 0.15, ridge: float = 2e-4) -> CumulativeLink:
-        """By Adam on the mean log-loss with a ridge; features in fewer than `least` rows have no weight."""
+    def fit(cls, rows: list[np.ndarray], grades: np.ndarray, least: int = 4, rounds: int = 150, rate: float = 0.15, ridge: float = 2e-4, least_z: float = LEAST_Z) -> CumulativeLink:
+        """By Adam on the mean log-loss with a ridge. Features in fewer than `least` rows, and those whose score test (of no
+        weight at all) stays under least_z, have no weight: rare words are not learned by heart."""
         flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
         index, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
         often = count >= least
+        if len(rows):
+            share = np.bincount(grades, minlength=GRADES) / len(rows)
+            below = np.concatenate([[0.0], np.cumsum(share)])
+            slope = below * (1 - below)
+            pull = (slope[grades + 1] - slope[grades]) / share[grades]
+            hits = np.bincount(inverse, np.repeat(pull, [len(r) for r in rows]), minlength=len(index))
+            often &= np.abs(hits) >= least_z * np.sqrt(count * max(float((pull**2).mean()), 1e-12))
         number = np.cumsum(often) - 1
         keep = often[inverse]
         column = number[inverse][keep]
