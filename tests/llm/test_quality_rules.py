@@ -52,7 +52,7 @@ def test_cutoffs_are_proven():
 
 
 def test_judge_against_brute_force(spark, none, odd):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 = 0")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")  # a stratum needs about 1,700 good documents to prove anything
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = qr.judge(docs, labels).collect()
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
