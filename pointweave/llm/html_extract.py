@@ -18,12 +18,17 @@ from pyspark.sql import functions as F
 from pointweave.llm.common import slices
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: An attribute: its name, and its value in double quotes, in single quotes or plain.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 #: Fixed values of the HTML language.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "input"}
-HIDDEN = {"head", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "dialog"}
+#: Formulas are part of the text around them; readers see all but the annotations.
+INLINE |= {"math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose", "maction", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mlabeledtr", "mtd", "semantics"}
+ANNOTATION = {"annotation", "annotation-xml"}
+SPACED = {"br", "input", "img", "mtr", "mlabeledtr", "mtd"}
+HIDDEN = {"head", "svg", "select", "button", "object", "audio", "video", "canvas", "dialog"}
 ASIDE = {"nav", "footer", "aside", "form", "menu"}
 MAIN = {"article", "main"}
 #: Words in class, id or role that name what isn't the article.
@@ -32,11 +37,19 @@ _BESIDE = re.compile(r"(?:^|[-_\s])(?:ads?|adsby\w+|advert\w*|banner|sponsor\w*|
 _BESIDE_MAIN = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|promo|sponsor\w*|related|comment\w*|reply|replies)(?:$|[-_\s])", re.I)
 _HEADING = re.compile(r"(?:^|[-_\s])(?:header|masthead)(?:$|[-_\s])", re.I)
 _LAYOUT = re.compile(r"\b(?:has|with|no)[-_][-\w]+", re.I)
-_UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "beside", "outside_main", "page_has_main"]
 
 
+def attributes(tag: str) -> dict[str, str]:
+    """Attributes by lower-case name, of equal names the first's value; those without a value have an empty one."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(tag):
+        out.setdefault(name.lower(), next(filter(None, values), ""))
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     """Text, word count, link density, whether inside the main element and whether inside something beside it, of each block in page order."""
     out: list[tuple[str, int, float, bool, bool]] = []
@@ -81,9 +94,13 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             in_link = 0 if m[1] else 1
             continue
         if name in INLINE:
-            if name in ("br", "wbr", "input", "img") and name != "wbr" and text:
+            if name in SPACED and text:
                 text.append(" ")
             continue
+        if name in ANNOTATION:
+            close = None if m[1] or m[3].endswith("/") else re.compile(rf"</(?:{name}|semantics|math)(?=[\s/>])", re.I).search(page, at)
+            at = close.start() if close else at
+            continue
         flush()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -100,12 +117,13 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             stack.pop()  # these close one of their own kind
         hidden, main, aside = state()
-        names = " ".join(next(filter(None, x), "") for x in _NAMED.findall(m[3])) if m[3] else ""
+        has = attributes(m[3])
+        names = " ".join(has[x] for x in ("class", "id", "role") if x in has)
         outside = name in ASIDE or (name == "header" and not main)
         if names and name not in ("html", "body"):
             names = _LAYOUT.sub("", _HEADING.sub(" ", names) if main else names)
             outside = outside or bool((_BESIDE_MAIN if name in MAIN else _BESIDE).search(names))
-        unseen = name in HIDDEN or bool(m[3] and _UNSEEN.search(m[3]))
+        unseen = name in HIDDEN or "hidden" in has or bool(_NO_DISPLAY.search(has.get("style", "")))
         stack.append((name, hidden or unseen, main or name in MAIN, aside or outside))
     flush()
     return out

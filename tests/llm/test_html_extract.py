@@ -50,3 +50,20 @@ def test_odd_rows(spark):
     got = hx.extract(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 999)]
     assert hx.extract(pages.where("false")).count() == 0
+
+
+def test_attribute_values_hide_nothing():
+    for tag in ('article title="A hidden gem"', "article data-x='The Hidden Valley'", "article data-hidden", 'article title="style=\'display:none\'"', 'article data-id="comments"', 'article title="now id=comments"', "article class=hidden-gems"):
+        assert hx.main_text(f"<{tag}><p>Some text</p></article>") == "Some text", tag
+        assert hx.main_text(f"<article><{tag.replace('article', 'div')}>Some text</div></article>") == "Some text", tag
+    for tag in ("div hidden", "div HIDDEN=''", 'div title="x"hidden', 'div a=b hidden="until-found"', "div style='color:red; display : none'", "div style=display:none"):
+        assert hx.main_text(f"<article><{tag}>Not seen</div><p>Some text</p></article>") == "Some text", tag
+
+
+def test_formulas_are_text():
+    sum_ = "<mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup>"
+    assert hx.main_text(f"<article><p>So <math>{sum_}</math> holds.</p><math display=block>{sum_}</math></article>") == "So a=b2 holds.\na=b2"
+    noted = f"<math><semantics><mrow>{sum_}</mrow><annotation encoding='application/x-tex'>a=b^2</annotation></semantics></math>"
+    assert hx.main_text(f"<article><p>So {noted} holds.</p></article>") == "So a=b2 holds."
+    assert hx.main_text("<article><p>So <math><mi>a</mi><annotation>tex</math> holds.</p></article>") == "So a holds."
+    assert hx.main_text("<article><math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math></article>") == "1 2"
