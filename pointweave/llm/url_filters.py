@@ -1,18 +1,19 @@
 """URL filtering by association rules, with DataFrame functions only.
 
-FP-growth finds combinations of URL tokens that occur with bad labels; rules pruned by support and confidence are kept by
-their rarest token (an inverted index), and a URL is looked up by its tokens. Listed host and path rules come first.
+Combinations of URL tokens that occur with bad labels are found size by size: each token of a frequent combination is
+frequent itself, and so is each smaller one. Rules pruned by support and confidence are kept by their rarest token (an
+inverted index), and a URL is looked up by its tokens. Listed host and path rules come first.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a URL: its last host labels and its first path segments, so many of each.
-HOST_LABELS, PATH_SEGMENTS = 4, 4
-BAD = "label:bad"
+from pointweave.llm.common import stored
+
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -26,13 +27,13 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct tokens `h:label` and `s:segment`."""
+    """Distinct tokens `h:label` and `s:segment`, of all labels of the host and all segments of the path."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     return F.array_distinct(
         F.concat(
-            F.transform(F.reverse(F.slice(F.reverse(labels), 1, HOST_LABELS)), lambda x: F.concat(F.lit("h:"), x)),
-            F.transform(F.slice(segments, 1, PATH_SEGMENTS), lambda x: F.concat(F.lit("s:"), x)),
+            F.transform(labels, lambda x: F.concat(F.lit("h:"), x)),
+            F.transform(segments, lambda x: F.concat(F.lit("s:"), x)),
         )
     )
 
@@ -41,15 +42,25 @@ def mine(labelled: DataFrame, min_support: float, min_count: int, min_confidence
     """Rules (tokens, hits, support, confidence) from rows (tokens, bad): token sets of which at least the share
     min_confidence is bad, in at least the share min_support of all rows, and min_count rows, that are bad."""
     n = labelled.count()
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    share = max(min_support, min_count / n) if n else 1.0
-    if share > 1:
-        items, share = items.where("false"), 1.0
-    sets = FPGrowth(itemsCol="items", minSupport=share).fit(items).freqItemsets.where(F.size("items") <= max_tokens + 1)
-    whole = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("all"))
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("hits"))
-    rules = bad.join(whole, "tokens").withColumn("confidence", F.col("hits") / F.col("all")).withColumn("support", F.col("hits") / F.lit(max(n, 1)))
-    return rules.where((F.col("hits") >= min_count) & (F.col("confidence") >= min_confidence)).select("tokens", "hits", "support", "confidence")
+    least = max(1, min_count, math.ceil(min_support * n))
+    hits, every = F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)), F.sum("n")
+    rows = labelled.groupBy("tokens", "bad").agg(F.count("*").alias("n"))
+    own = rows.select("tokens", "bad", "n", F.explode("tokens").alias("token"))
+    common = own.groupBy("token").agg(hits.alias("hits")).where(F.col("hits") >= least).select("token")
+    # there are at most so many frequent tokens (sets) as a URL has of them over min_support, however many rows
+    # sets: rows of frequent tokens only (sorted), each with one of the sets it has
+    rows = own.join(F.broadcast(common), "token").groupBy("tokens", "bad").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("token")).alias("own"))
+    rows = stored(rows.select("own", "bad", "n"), "url-tokens")
+    sets = rows.select("own", "bad", "n", F.explode(F.transform("own", lambda x: F.array(x))).alias("tokens"))
+    found = None
+    for size in range(1, max_tokens + 1):
+        counted = stored(sets.groupBy("tokens").agg(hits.alias("hits"), every.alias("all")).where(F.col("hits") >= least), "url-sets")
+        found = counted if found is None else found.union(counted)
+        if size < max_tokens:
+            later = F.filter("own", lambda x: x > F.element_at("tokens", -1))
+            sets = sets.join(F.broadcast(counted.select("tokens")), "tokens", "left_semi").select("own", "bad", "n", F.explode(F.transform(later, lambda x: F.array_append("tokens", x))).alias("tokens"))
+    rules = found.withColumn("confidence", F.col("hits") / F.col("all")).withColumn("support", F.col("hits") / F.lit(max(n, 1)))
+    return rules.where(F.col("confidence") >= min_confidence).select("tokens", "hits", "support", "confidence")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:

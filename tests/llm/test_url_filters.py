@@ -2,6 +2,8 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from pointweave.llm import queries
 from pointweave.llm import url_filters as uf
 
@@ -75,3 +77,32 @@ def test_main_path_is_native(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = uf.judge(pages, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), RULES)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def all_tokens(host, path):
+    return list(dict.fromkeys(["h:" + x for x in host.split(".") if x] + ["s:" + x for x in path.split("/") if x]))
+
+
+def test_all_labels_and_segments_count(spark, monkeypatch):
+    """Telling tokens in the 5th label from the end and in the 5th and a later segment, held against brute force over all tokens."""
+    urls = [f"http://{'casino.' if k % 3 == 0 else ''}a{k % 7}.b.c.d.net/1/2/3/4/{'spam' if k % 4 == 0 else 'fine'}/6/7/{'pills' if k % 5 == 0 else 'x'}/{k}" for k in range(120)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = [(k, int(not (k % 3 == 0 or k % 4 == 0 or k % 5 == 0)), 0) for k in range(100)]
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setitem(globals(), "tokens", all_tokens)
+    for setting in ((0.002, 8, 0.6, 3), (0.1, 2, 0.6, 2), (0.0, 9, 0.9, 1)):
+        got = uf.judge(pages, given, [], *setting).collect()
+        want = [(p, h, s, None, "block" if c is not None else "allow", c) for p, h, s, _, _, c in brute(list(enumerate(urls)), labels, *setting)]
+        same(got, want)
+    verdicts = {r.page_id: r.verdict for r in uf.judge(pages, given, [], 0.002, 8, 0.9).collect()}
+    assert all(verdicts[k] == ("block" if k % 3 == 0 or k % 4 == 0 or k % 5 == 0 else "allow") for k in range(100, 120))
+
+
+def test_long_urls_of_common_tokens(spark):
+    """All sets of 40 tokens would be 2^40; those of up to three of the 42 tokens are 12,383."""
+    path = "/".join(f"t{k}" for k in range(40))
+    pages = spark.createDataFrame([(k, f"http://x.com/{path}") for k in range(10)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 0, 0) for k in range(10)], "doc_id long, quality int, toxic int")
+    tokens_, bad = uf.tokens_of(uf.host_of(F.col("url")), uf.path_of(F.col("url"))).alias("tokens"), F.lit(True).alias("bad")
+    assert uf.mine(pages.select(tokens_, bad), 0.0, 8, 0.6, 3).count() == 42 + 42 * 41 // 2 + 42 * 41 * 40 // 6
+    assert {r.verdict for r in uf.judge(pages, labels, []).collect()} == {"block"}
