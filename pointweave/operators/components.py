@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from pointweave.operators.ranking import ranked
 from pointweave.operators.transform import dbl
 from pointweave.schema import XYZ
-from pointweave.shared import stored_with
+from pointweave.shared import looked_up, stored_with
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (the least node it reaches) of every node in edges (a, b), by alternating large-star and small-star.
 
     Large-star ties a node's greater neighbours to its least neighbour (or itself), small-star its smaller neighbours and
-    itself; both only send minima, aggregated before the shuffle. The loop ends when the edges no longer change. Null ends,
+    itself; both only send minima, aggregated before the shuffle, and a node with very many neighbours gets its minimum
+    by broadcast, so that a star's centre is no task of its own. The loop ends when the edges no longer change. Null ends,
     loops and repeated edges are ignored; no edges give no rows.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a != b").distinct()
@@ -26,9 +27,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = looked_up(both, least, "a", 2 * seen["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = looked_up(large, least, "a", seen["n"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges, now = stored_with(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges", **size)
         if now == seen:
             break

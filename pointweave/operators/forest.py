@@ -1,17 +1,32 @@
 """Maximum spanning forests of signed graphs and the signs that they ask for.
 
 In each round every tree takes its best edge to another tree; trees so joined become one by pointer jumping, with the
-product of the signs along the way. The order by size of weight, then ends, is total, so the forest is unique.
+product of the signs along the way. The order by size of weight, then ends, is total, so the forest is unique. Of the edges
+between two trees only the best goes on to the next round, and a node's tree is put together from the rounds' tables of
+trees, each at most half as long as the one before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.shared import stored, stored_with
+from pointweave.shared import looked_up, stored, stored_with
 
 MOST_ROUNDS = 60
+EDGE = ["u", "v", "s", "hi", "lo", "weight"]
+
+
+def better() -> Column:
+    """The total order of edges, greatest best."""
+    return F.struct(F.abs("weight"), -F.col("hi"), -F.col("lo"))
+
+
+def times(*signs: str) -> Column:
+    out = F.col(signs[0])
+    for s in signs[1:]:
+        out = out * F.col(s)
+    return out.cast("int")
 
 
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,48 +38,63 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     usable = edges.where("hi is not null and lo is not null and hi != lo and weight is not null and not isnan(weight)")
     usable = usable.groupBy(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).agg(F.max("weight").cast("double").alias("weight"))
-    usable = stored(usable, "edges")
-    ends = usable.select(F.col("hi").alias("node")).union(usable.select(F.col("lo").alias("node"))).distinct()
-    nodes = stored(ends.select("node", F.col("node").alias("tree"), F.lit(1).alias("sign")), "nodes")
     # u, v: the trees of both ends; s: the sign that u's root asks of v's root
-    open_ = usable.select(F.col("hi").alias("u"), F.col("lo").alias("v"), F.when(F.col("weight") < 0, -1).otherwise(1).alias("s"), F.abs("weight").alias("size"), "hi", "lo", "weight")
-    taken: list[DataFrame] = []
+    asked = F.when(F.col("weight") < 0, -1).otherwise(1)
+    open_, seen = stored_with(usable.select(F.col("hi").alias("u"), F.col("lo").alias("v"), asked.alias("s"), "hi", "lo", "weight"), "open", n=F.count("*"))
+    taken, trees = [], []
     for _ in range(MOST_ROUNDS):
-        both = open_.union(open_.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "size", "hi", "lo", "weight"))
-        best = both.groupBy("u").agg(F.max_by(F.struct("v", "s", "hi", "lo", "weight"), F.struct("size", -F.col("hi"), -F.col("lo"))).alias("e"))
-        best, seen = stored_with(best.select("u", "e.*"), "best", n=F.count("*"))
         if not seen["n"]:
             break
+        both = open_.union(open_.select(F.col("v").alias("u"), F.col("u").alias("v"), *EDGE[2:]))
+        best = both.groupBy("u").agg(F.max_by(F.struct(*EDGE[1:]), better()).alias("e")).select("u", "e.*")
+        best, of_best = stored_with(best, "best", n=F.count("*"))
         taken.append(best.select("hi", "lo", "weight").distinct())
-        other = best.select(F.col("u").alias("v"), F.col("v").alias("back"))
-        # two trees may take the same edge; the lesser is then the root
-        up = best.join(other, "v", "left").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p"), F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.lit(1)).otherwise(F.col("s")).alias("s"))
-        up = jumped(up)
-        root = up.select(F.col("u").alias("tree"), F.col("p").alias("root"), F.col("s").alias("turn"))
-        nodes = stored(nodes.join(root, "tree", "left").select("node", F.coalesce("root", "tree").alias("tree"), (F.col("sign") * F.coalesce("turn", F.lit(1))).cast("int").alias("sign")), "nodes")
-        a = root.select(F.col("tree").alias("u"), F.col("root").alias("ru"), F.col("turn").alias("tu"))
-        b = root.select(F.col("tree").alias("v"), F.col("root").alias("rv"), F.col("turn").alias("tv"))
-        joined = open_.join(a, "u").join(b, "v").where("ru != rv").select(F.col("ru").alias("u"), F.col("rv").alias("v"), (F.col("s") * F.col("tu") * F.col("tv")).cast("int").alias("s"), "size", "hi", "lo", "weight")
-        open_ = stored(joined, "open")
+        trees.append(rooted(best, of_best["n"]))
+        root = trees[-1]
+        met = open_
+        for end in "uv":
+            met = looked_up(met, root.select(F.col("tree").alias(end), F.col("root").alias(f"r{end}"), F.col("turn").alias(f"t{end}")), end, seen["n"])
+        met = met.where("ru != rv").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v"), times("s", "tu", "tv").alias("s"), *EDGE[3:])
+        left = met.groupBy("u", "v").agg(F.max_by(F.struct(*EDGE[2:]), better()).alias("e")).select("u", "v", "e.*")
+        open_, seen = stored_with(left, "open", n=F.count("*"))
     else:
         raise RuntimeError("the forest did not settle")
-    forest = usable.where("false")
-    for part in taken:
+    if not trees:
+        return usable.select("hi", "lo", "weight"), usable.select(F.col("hi").alias("node"), F.col("hi").alias("component"), F.lit(1).alias("sign"))
+    forest = taken[0]
+    for part in taken[1:]:
         forest = forest.union(part)
-    least = nodes.groupBy("tree").agg(F.min_by(F.struct("node", "sign"), "node").alias("first"))
-    solution = nodes.join(least, "tree").select("node", F.col("first.node").alias("component"), (F.col("sign") * F.col("first.sign")).cast("int").alias("sign"))
-    return forest.select("hi", "lo", "weight"), solution
+    whole = composed(trees)
+    least = whole.groupBy("root").agg(F.min_by(F.struct("tree", "turn"), "tree").alias("first"))
+    named = looked_up(whole, least, "root", whole.count())
+    solution = named.select(F.col("tree").alias("node"), F.col("first.tree").alias("component"), (F.col("turn") * F.col("first.turn")).cast("int").alias("sign"))
+    return forest, solution
 
 
-def jumped(up: DataFrame) -> DataFrame:
-    """Each u's root p and the product s of the signs on the way, from parents p and signs s; a root is its own parent."""
-    up = stored(up, "up")
+def composed(trees: list[DataFrame]) -> DataFrame:
+    """tree, root and turn from the first round's trees (the nodes) to the last one's roots; a tree that found no edge in a round stays what it is."""
+    out = trees[-1]
+    for earlier in reversed(trees[:-1]):
+        n = earlier.count()
+        later = out.select(F.col("tree").alias("root"), F.col("root").alias("top"), F.col("turn").alias("more"))
+        met = looked_up(earlier, later, "root", n, "left")
+        out = met.select("tree", F.coalesce("top", "root").alias("root"), (F.col("turn") * F.coalesce("more", F.lit(1))).cast("int").alias("turn"))
+    return stored(out, "trees")
+
+
+def rooted(best: DataFrame, n: int) -> DataFrame:
+    """tree, root and turn (the product of the signs on the way) of n trees, from the best edge (u to v with sign s) of each."""
+    other = best.select(F.col("u").alias("v"), F.col("v").alias("back"))
+    # two trees may take the same edge; the lesser is then the root
+    own = (F.col("back") == F.col("u")) & (F.col("u") < F.col("v"))
+    up = looked_up(best, other, "v", n, "left")
+    up = up.select("u", F.when(own, F.col("u")).otherwise(F.col("v")).alias("p"), F.when(own, F.lit(1)).otherwise(F.col("s")).alias("s"))
     for _ in range(MOST_ROUNDS):
         for _ in range(2):
             further = up.select(F.col("u").alias("p"), F.col("p").alias("pp"), F.col("s").alias("ps"))
-            up = up.join(further, "p").select("u", F.col("pp").alias("p"), (F.col("s") * F.col("ps")).cast("int").alias("s"), (F.col("p") != F.col("pp")).alias("moved"))
+            up = looked_up(up.select("u", "p", "s"), further, "p", n).select("u", F.col("pp").alias("p"), times("s", "ps").alias("s"), (F.col("p") != F.col("pp")).alias("moved"))
         up, seen = stored_with(up, "up", moved=F.count_if("moved"))
-        if not seen["moved"]:
-            return up.drop("moved")
         up = up.drop("moved")
+        if not seen["moved"]:
+            return up.select(F.col("u").alias("tree"), F.col("p").alias("root"), F.col("s").alias("turn"))
     raise RuntimeError("the trees' roots were not found")

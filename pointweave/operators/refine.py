@@ -16,8 +16,8 @@ from pointweave.shared import stored, stored_with
 LEAST_GAIN = 1e-9
 
 
-def refined(edges: DataFrame, solution: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """solution (node, component, sign) with flips until none gains, or most_rounds; the energy never grows."""
+def refined(edges: DataFrame, solution: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """solution (node, component, sign) with flips until none gains; each round lowers the energy. Raises if most_rounds do not do."""
     edges = stored(edges.where("weight != 0").select("hi", "lo", "weight"), "edges")
     solution = stored(solution, "solution")
     for _ in range(most_rounds):
@@ -33,4 +33,6 @@ def refined(edges: DataFrame, solution: DataFrame, most_rounds: int = 50) -> Dat
         lost = rivals.select(F.when(F.col("gain_hi") > F.col("gain_lo"), F.col("lo")).otherwise(F.col("hi")).alias("node")).distinct()
         flips = gains.join(lost, "node", "left_anti").select("node", F.lit(-1).alias("turn"))
         solution = stored(solution.join(flips, "node", "left").select("node", "component", (F.col("sign") * F.coalesce("turn", F.lit(1))).cast("int").alias("sign")), "solution")
+    else:
+        raise RuntimeError(f"nodes still gain after {most_rounds} rounds")
     return solution

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.operators.ranking import ranked
 from pointweave.operators.transform import dbl
 from pointweave.schema import XYZ
-from pointweave.shared import stored
+from pointweave.shared import looked_up, stored_with
 
 
 def bbox(cloud: DataFrame) -> DataFrame:
@@ -45,33 +44,28 @@ def slice_size(cloud: DataFrame, width: float) -> int:
     """Most points in a closed slice along x. A slice opens at its first point and closes at the first one that is width or more
     beyond; the last stays open and doesn't count, unless no slice closes: then all points do.
 
-    Each x range works out, for every point that might open a slice, which slice is the last to open there and the largest
-    to close there; the driver then only looks up one row a range.
+    Each point's next opening point is found by one sort of the points and of where their slices end. Then the steps are doubled:
+    a row's step becomes that step and the one after it, and rows that no step leads to any more drop out, until the first
+    point's row has reached the end.
     """
     if width <= 0:
         raise ValueError("width must be positive")
-    rows = ranked(cloud.select(dbl("px").alias("px"), "id").where("px is not null"), ["px", "id"], "rank", keep_range=True)
-
-    def chains(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        x, n = part["px"].to_numpy(), len(part)
-        nxt = np.searchsorted(x, x + width, side="left")
-        nxt = np.maximum(nxt, np.arange(n) + 1)  # x + width may round to x
-        last, most = np.arange(n), np.zeros(n, dtype=np.int64)
-        for k in range(n - 1, -1, -1):
-            if nxt[k] < n:
-                last[k], most[k] = last[nxt[k]], max(nxt[k] - k, most[nxt[k]])
-        rank = part["rank"].to_numpy()
-        return pd.DataFrame({"range": part["range"].to_numpy(), "px": x, "rank": rank, "last_px": x[last], "last_rank": rank[last], "most": most})
-
-    table = stored(rows.groupBy("range").applyInPandas(chains, "range int, px double, rank long, last_px double, last_rank long, most long"), "slices")
-    open_px = open_rank = None
-    largest = 0
-    for (k,) in sorted(table.select("range").distinct().collect()):
-        here = table.where(F.col("range") == k)
-        first = (here if open_px is None else here.where(F.col("px") >= F.lit(open_px + width))).orderBy("rank").first()
-        if first is not None:
-            if open_rank is not None:
-                largest = max(largest, first.rank - open_rank)
-            largest, open_px, open_rank = max(largest, first.most), first.last_px, first.last_rank
-    return largest or table.count()
+    rows = cloud.select(dbl("px").alias("px"), "id").where("px is not null")
+    points = ranked(rows, [F.col("px"), F.col("id")], "place")
+    end = F.col("px") + F.lit(float(width))
+    # x + width may round to x: then the next place opens a slice
+    marks = points.select(F.col("px").alias("at"), F.lit(1).alias("kind"), "place").union(points.select(end.alias("at"), F.lit(0).alias("kind"), "place"))
+    met = ranked(marks, [F.col("at"), F.col("kind"), F.col("place")], "mark").where("kind = 0")
+    # ends are in the points' own order, so before the mark of the end of `place` stand `place - 1` ends; the others are points
+    following = F.greatest(F.col("mark") - F.col("place") + 1, F.col("place") + 1)
+    n = points.count()
+    steps = met.select("place", F.when(following <= n, following).alias("next")).withColumn("most", F.col("next") - F.col("place"))
+    while n:
+        steps, seen = stored_with(steps, "steps", rows=F.count("*"), first=F.max(F.when(F.col("place") == 1, F.coalesce("next", F.lit(0)))), most=F.max(F.when(F.col("place") == 1, F.col("most"))))
+        if not seen["first"]:
+            return seen["most"] or n
+        later = steps.select(F.col("place").alias("next"), F.col("next").alias("then"), F.col("most").alias("later"))
+        double = looked_up(steps, later, "next", seen["rows"], "left").select("place", F.col("then").alias("next"), F.greatest("most", "later").alias("most"))
+        reached = steps.where("next is not null").select(F.col("next").alias("place")).union(cloud.sparkSession.range(1, 2).toDF("place")).distinct()
+        steps = double.join(reached, "place", "left_semi")
+    return 0

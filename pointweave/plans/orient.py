@@ -39,9 +39,9 @@ def forest_only(edges: DataFrame) -> DataFrame:
     return forest.spanning_forest(edges)[1]
 
 
-def forest_refined(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """The forest's signs, then single flips that lower the energy."""
-    return refine.refined(edges, forest_only(edges), rounds)
+def forest_refined(edges: DataFrame) -> DataFrame:
+    """The forest's signs, then single flips that lower the energy until none does."""
+    return refine.refined(edges, forest_only(edges))
 
 
 def components_only(edges: DataFrame) -> DataFrame:

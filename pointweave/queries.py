@@ -100,7 +100,7 @@ def apply_orientation(spark: SparkSession, sf: str) -> DataFrame:
 def orient_refine(spark: SparkSession, sf: str) -> DataFrame:
     """Energies of the labelling as it comes, after the forest and after refinement."""
     edges, _, solution = solved_e(spark, sf)
-    better = refine.refined(edges, solution, 20)
+    better = refine.refined(edges, solution)
     plain = solution.withColumn("sign", F.lit(1))
     parts = [graph.model_energy(edges, s).withColumn("step", F.lit(name)) for name, s in (("as it came", plain), ("forest", solution), ("refined", better))]
     return parts[0].union(parts[1]).union(parts[2]).select("step", "energy", "edges")

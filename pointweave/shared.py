@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, and joins that stand hot keys."""
 
 from __future__ import annotations
 
@@ -6,16 +6,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-
-#: Folders of applications that name none.
+#: Folders of local applications that name none.
 _OWN: dict[str, str] = {}
+#: A key with fewer rows is never hot, and no key of a table with so few rows as fit any task is.
+LEAST_HOT, FEW_ROWS = 256, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the folder given to setCheckpointDir; only where neither is set (tests, one machine) a new local one."""
+    """``spark.checkpoint.dir``, or the folder given to setCheckpointDir. Where neither is set, a local session gets a new folder; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="pointweave-")
@@ -35,3 +39,27 @@ def stored_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame
     seen = Observation()
     out = stored(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
     return out, seen.get
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table on the column key, which is unique in table; total: about the number of rows.
+
+    Keys with many rows (a quarter of a task's share; so there are at most four times as many as tasks) meet their table rows
+    by broadcast and are not dealt by key; the others are joined by a shuffle. Null keys find nothing. how: inner or left.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(LEAST_HOT, total // (4 * tasks))
+    if total <= FEW_ROWS:
+        return rows.join(table, key, how)
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > most).select(key)
+    other = [c for c in table.columns if c != key]
+    few = F.broadcast(hot.join(table, key, how).select(F.col(key), F.lit(True).alias("_hot"), *other))
+    met = rows.join(few, key, "left")
+    there = met.where("_hot").select(*rows.columns, *other)
+    rest = met.where(F.col("_hot").isNull()).select(rows.columns)
+    if how == "inner":
+        return there.unionByName(rest.join(table, key).select(*rows.columns, *other))
+    named = rest.where(F.col(key).isNotNull()).join(table, key, how).select(*rows.columns, *other)
+    types = dict(table.dtypes)
+    nulls = rest.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(types[c]).alias(c) for c in other))
+    return there.unionByName(named).unionByName(nulls)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from pointweave.operators.ranking import ranked
 from pointweave.schema import COLOR, NORMAL, POINT, XYZ
 
 RECORD = np.dtype([("p", "<f4", 3), ("n", "<f4", 3), ("c", "u1", 3), ("pad", "u1")])
 SEGMENT_RECORD = np.dtype([*RECORD.descr, ("segment", "<i4")])
+#: Records that a task reads, and that it decodes at once.
+RECORDS_PER_TASK, RECORDS_PER_BATCH = 4_000_000, 100_000
 #: The columns of a PLY or XYZ row, in order.
 ROW = [*XYZ, *NORMAL, *COLOR]
 
@@ -56,18 +64,73 @@ def read_xyz_dir(spark: SparkSession, folder: str) -> DataFrame:
     return _numbered(_rows(_lines(spark, [folder], pathGlobFilter="*.xyz")))
 
 
-def read_bin(spark: SparkSession, path: str, segments: bool = False) -> DataFrame:
-    """A cloud from fixed-length little-endian records: 6 floats, 3 colour bytes, a byte of padding (and an int segment). Ids count the records.
+@dataclass
+class Records(InputPartition):
+    """Records of one file, by their offset in it, and the number of the first of them in the cloud."""
+
+    path: str
+    offset: int
+    records: int
+    first: int
+
+
+class RecordSource(DataSource):
+    """Clouds in files of fixed-length records: option path is a file or a folder (names with a leading dot or underscore are no data)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pointweave_cloud"
+
+    def schema(self) -> str:
+        return POINT + (", segment int" if self.options.get("segments") == "true" else "")
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return RecordReader(self.options["path"], self.options.get("segments") == "true", int(self.options.get("recordsPerTask", RECORDS_PER_TASK)))
+
+
+class RecordReader(DataSourceReader):
+    def __init__(self, path: str, segments: bool, most: int):
+        self.path, self.segments, self.most = path, segments, most
+
+    def files(self) -> fs.FileSystem:
+        return fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+
+    def partitions(self) -> list[Records]:
+        """Equal ranges of whole records, file by file in order of their names; a file's last bytes short of a record are none."""
+        size = (SEGMENT_RECORD if self.segments else RECORD).itemsize
+        place = fs.FileSystem.from_uri(self.path)[1] if "://" in self.path else self.path
+        found = self.files().get_file_info(place)
+        if found.type == fs.FileType.NotFound:
+            raise FileReadError(self.path)
+        if found.type == fs.FileType.Directory:
+            every = self.files().get_file_info(fs.FileSelector(place))
+            every = sorted((f for f in every if f.type == fs.FileType.File and f.base_name[0] not in "._"), key=lambda f: f.path)
+        else:
+            every = [found]
+        out, first = [], 0
+        for file in every:
+            n = file.size // size
+            out += [Records(file.path, k * size, min(self.most, n - k), first + k) for k in range(0, n, self.most)]
+            first += n
+        return out
+
+    def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
+        kind = SEGMENT_RECORD if self.segments else RECORD
+        with self.files().open_input_file(partition.path) as file:
+            file.seek(partition.offset)
+            for at in range(0, partition.records, RECORDS_PER_BATCH):
+                r = np.frombuffer(file.read(min(RECORDS_PER_BATCH, partition.records - at) * kind.itemsize), dtype=kind)
+                out = [pa.array(np.arange(len(r)) + partition.first + at)]
+                out += [pa.array(np.ascontiguousarray(r[field][:, k])) for field in "pn" for k in range(3)] + [pa.array(r["c"][:, k].astype("i2")) for k in range(3)]
+                names = ["id", *ROW]
+                if self.segments:
+                    out, names = [*out, pa.array(np.ascontiguousarray(r["segment"]))], [*names, "segment"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
-    The files are read in splits of whole records by the JVM's fixed-length reader."""
-    kind = SEGMENT_RECORD if segments else RECORD
-    raw = spark.sparkContext.binaryRecords(path, kind.itemsize)
-    rows = raw.zipWithIndex().map(lambda x: (x[1], bytearray(x[0]))).toDF("id long, record binary")
 
-    def decode(parts):
-        for part in parts:
-            r = np.frombuffer(b"".join(part["record"]), dtype=kind)
-            out = {"id": part["id"]} | {c: r["p"][:, k] for k, c in enumerate(XYZ)} | {c: r["n"][:, k] for k, c in enumerate(NORMAL)} | {c: r["c"][:, k].astype("i2") for k, c in enumerate(COLOR)}
-            yield pd.DataFrame(out | ({"segment": r["segment"]} if segments else {}))
+def read_bin(spark: SparkSession, path: str, segments: bool = False) -> DataFrame:
+    """A cloud from fixed-length little-endian records: 6 floats, 3 colour bytes, a byte of padding (and an int segment). Ids count the records.
 
-    return rows.mapInPandas(decode, POINT + (", segment int" if segments else ""))
+    Tasks read ranges of whole records; a record's id follows from the files' sizes, so nothing is read twice."""
+    spark.dataSource.register(RecordSource)
+    return spark.read.format(RecordSource.name()).option("path", path).option("segments", str(segments).lower()).load()

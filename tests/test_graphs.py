@@ -5,7 +5,8 @@ import pytest
 from makers import frame, strip
 from pyspark.sql import functions as F
 
-from pointweave.functions.unionfind import SignedUnionFind
+from unionfind import SignedUnionFind
+from pointweave import shared
 from pointweave.operators import components, forest, graph, refine, segment
 from pointweave.operators.knn import neighbours
 from pointweave.operators.transform import normalized
@@ -131,3 +132,26 @@ def test_segmentation(spark, theta_s, theta_acc):
     assert got.keys() == edges.keys() and all(abs(got[k] - edges[k]) < 1e-9 for k in got)
     slabs = segment.segmented(cloud, near, "hoppe", 0.4, theta_s, theta_acc, most=60)
     assert slabs.count() == 250 and slabs.select("segment").distinct().count() >= 5
+
+
+def test_hot_keys_are_looked_up_apart(spark, monkeypatch):
+    """Joins with every key hot, some, or none give what a plain join gives."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(rng.choice([None, 0, 0, 0, 1, 1, 2, 9]), k) for k in range(300)], "key int, n int")
+    table = spark.createDataFrame([(0, "a"), (1, "b"), (2, None), (5, "c")], "key int, name string")
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(table, "key", how).collect()))
+        for least in (0, 40, 1000):
+            monkeypatch.setattr(shared, "LEAST_HOT", least)
+            assert sorted(map(str, shared.looked_up(rows, table, "key", 300 if least else 1, how).collect())) == want
+
+
+def test_large_stars(spark):
+    """A star of 100,000 leaves, as components and as a forest."""
+    edges = spark.range(1, 100_001).selectExpr("id as hi", "0L as lo", "if(id % 3 = 0, -1.0, 1.0) * (1 + id) as weight")
+    found = components.connected(edges.selectExpr("hi as a", "lo as b"))
+    assert found.count() == 100_001 and found.where("component != 0").isEmpty()
+    taken, solution = forest.spanning_forest(edges)
+    assert taken.count() == 100_000
+    assert solution.where("component != 0 or sign != if(node > 0 and node % 3 = 0, -1, 1)").isEmpty() and solution.count() == 100_001

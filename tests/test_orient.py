@@ -5,7 +5,7 @@ import pytest
 from makers import frame, sphere, strip
 from pyspark.sql import functions as F
 
-from pointweave import cli
+from pointweave import cli, shared
 from pointweave.functions import criteria
 from pointweave.operators import compare, graph, normals, ranking, stats, transform
 from pointweave.plans import orient
@@ -133,3 +133,16 @@ def test_command_line(spark, tmp_path):
     with pytest.raises(SystemExit) as stop:
         cli.run(spark, ["x.ply", "-nothing"])
     assert stop.value.code != 0
+
+
+def test_many_points_at_one_position(spark, monkeypatch):
+    """Numbering by rank, as for positions with very many points, against the numbering in one window."""
+    cloud = frame(spark, [(k % 3 == 0, 0, 0) for k in range(90)], [(0, 0, 1)] * 90)
+    other = frame(spark, [(k % 4 == 0, 0, 0) for k in range(80)], [(0, 0, (-1) ** (k // 2)) for k in range(80)])
+    want = tuple(compare.compare_normals(cloud, other).first())
+    monkeypatch.setattr(compare, "MOST_AT_ONE", 5)
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    monkeypatch.setattr(shared, "LEAST_HOT", 4)
+    assert tuple(compare.compare_normals(cloud, other).first()) == want
+    row = compare.compare_normals(spark.range(100_000).selectExpr("id", *(f"0f {c}" for c in ("px", "py", "pz", "nx", "ny")), "1f nz"), cloud.where("px = 0")).first()
+    assert tuple(row) == (60, 0, 100_000 - 60, 0)

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from pointweave.functions.unionfind import SignedUnionFind
+from unionfind import SignedUnionFind
 
 
 def of(n, signs=lambda k: False):
