@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,9 +8,61 @@ from hypothesis import strategies as st
 from pointweave.llm import html_extract as hx
 
 
-def test_tree_fits_its_table():
+def splits(tree):
+    return set() if isinstance(tree, bool) else {hx.FEATURES[tree["feature"]]} | splits(tree["low"]) | splits(tree["high"])
+
+
+def test_neighbours_decide():
     x, y = hx.table()
-    assert (hx.classify(hx.trained(), x) == y).all()
+    assert (hx.classify(hx.trained(), x) == y).mean() >= 0.98
+    assert {"link_density", "words"} <= splits(hx.trained()) and any(f.endswith(("_before", "_after")) for f in splits(hx.trained()))
+    # the same block, with other neighbours
+    one = lambda *n: bool(hx.classify(hx.trained(), hx.features([("", w, d, False, False) for w, d in n]))[1])
+    assert one((40, 0), (4, 0), (50, 0)) and not one((3, 1), (4, 0), (2, 1))
+
+
+def test_pages_that_were_not_learned_from():
+    """Held-out plain pages, in the table's notation."""
+    right = total = 0
+    for page in ("1/1- 2/2- 1/1- 5+ 50/2+ 2+ 39+ 71/1+ 3/3- 4/4-", "3/3- 3/3- 9+ 20+ 14+ 33/1+ 6+ 28+ 2/2- 5/5-", "7+ 64+ 3+ 3+ 58+", "2/2- 2/2- 2/2- 6+ 45+ 4+ 66/5+ 7/7- 6/6- 8/8-", "4+ 3+ 12+ 11+ 5+", "1/1- 1/1- 7+ 130+ 90/2+ 1/1- 1/1- 2/2-"):
+        found = [re.match(r"(\d+)(?:/(\d+))?([-+])", b) for b in page.split()]
+        got = hx.classify(hx.trained(), hx.features([("", int(m[1]), int(m[2] or 0) / int(m[1]), False, False) for m in found]))
+        right, total = right + sum(g == (m[3] == "+") for g, m in zip(got, found, strict=True)), total + len(found)
+    assert right >= 0.95 * total
+
+
+def test_short_blocks_of_plain_pages():
+    long = "This is a plain paragraph that has quite a few words and says nothing of interest to anyone at all."
+    for short in ("Two words", "Just three words", "Now four short words"):
+        assert hx.main_text(f"<body><p>{long}</p><p>{short}</p><p>{long}</p></body>") == f"{long}\n{short}\n{long}"
+
+
+def test_head_without_end():
+    assert hx.main_text("<html><head><title>x</title><body><article><p>Some text</p></article>") == "Some text"
+    assert hx.main_text("<head><meta charset=utf-8><title>x</title><article><p>Some text</article>") == "Some text"
+    assert hx.main_text("<head><script>a</script>\n Some text <p>goes on with a number of words that make it long") == "Some text\ngoes on with a number of words that make it long"
+
+
+def test_names_that_only_contain_a_listed_word():
+    for name in ("side-effects", "related-work", "ad-free", "has-sidebar", "comment-free-zone", "top-stories", "reader"):
+        assert hx.main_text(f'<article><p>Text.</p><div class="{name}"><p>More of it.</p></div></article>') == "Text.\nMore of it.", name
+    for name in ("ad", "ad-slot", "ads", "site_footer x", "cookie-notice", "comment-list", "related-posts", "share-buttons", "sidebar-left", "newsletter-box"):
+        assert hx.main_text(f'<body><div class="{name}"><p>Beside it.</p></div><article><p>Text.</p></article></body>') == "Text.", name
+
+
+def test_hostile_pages_take_linear_time():
+    for part in ("<a ", "<p b='>'", "<!-", "<annotation>", "<a '>'", "<?", "<script>", "</p x='"):
+        start = time.process_time()
+        hx.main_text(part * (1_000_000 // len(part)))
+        assert time.process_time() - start < 3, part
+    start = time.process_time()
+    hx.main_text("<div>" * 100_000 + "</x>" * 100_000 + "<p>" * 100_000)
+    assert time.process_time() - start < 6
+
+
+def test_very_long_page():
+    text = "word " * 600_000
+    assert hx.main_text(f"<article><p>{text}</p></article>") == text.strip()
 
 
 def test_pages(spark):
