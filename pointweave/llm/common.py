@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from pointweave.shared import shared_dir, stored
+from pointweave.shared import looked_up, shared_dir, stored, stored_with
 
-__all__ = ["arrow_map", "shared_dir", "slices", "stored"]
+__all__ = ["arrow_map", "looked_up", "shared_dir", "slices", "stored", "stored_with"]
 
 
 def arrow_map(make: Callable[[], Callable[[pa.RecordBatch], list]], names: list[str]) -> Callable:

@@ -21,26 +21,28 @@ SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_i
 
 
 def url_filters(rules: list[tuple[str, str]], min_support: float, min_count: int, min_confidence: float) -> str:
-    """Listed rules by all pairs; mined rules by counting all sets of one to three tokens."""
+    """Listed rules by all pairs; mined rules by counting all sets of tokens of all labelled pages."""
     listed = ", ".join(f"('{r}', '{a}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for r, a in rules)
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    return f"""WITH
+    return f"""WITH RECURSIVE
 u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '{parts}', 1), ''), '{CAPITALS}', '{CAPITALS.lower()}') AS host, coalesce(regexp_extract(url, '{parts}', 2), '') AS path FROM pages),
 k AS (SELECT *, list_distinct(list_concat(
-  list_transform(list_filter(string_split(host, '.'), lambda x: x <> '')[-4:], lambda x: 'h:' || x),
-  list_transform(list_filter(string_split(path, '/'), lambda x: x <> '')[1:4], lambda x: 's:' || x))) AS tokens FROM u),
-one AS (SELECT page_id, url, unnest(tokens) AS t FROM (SELECT DISTINCT page_id, url, tokens FROM k)),
-sets AS (
-  SELECT page_id, url, [t] AS s FROM one
-  UNION ALL SELECT a.page_id, a.url, [a.t, b.t] FROM one a JOIN one b USING (page_id, url) WHERE a.t < b.t
-  UNION ALL SELECT a.page_id, a.url, [a.t, b.t, c.t] FROM one a JOIN one b USING (page_id, url) JOIN one c USING (page_id, url) WHERE a.t < b.t AND b.t < c.t),
-label AS (SELECT doc_id AS page_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY 1),
-n AS (SELECT count(*) AS n FROM pages JOIN label USING (page_id)),
-mined AS (SELECT s, count(*) FILTER (bad) / count(*) AS confidence FROM sets JOIN label USING (page_id) GROUP BY s
-  HAVING count(*) FILTER (bad) >= greatest({min_count}, ceil({min_support!r} * (SELECT n FROM n))) AND count(*) FILTER (bad) / count(*) >= {min_confidence!r}),
-found AS (SELECT page_id, url, max(confidence) AS confidence FROM sets JOIN mined USING (s) GROUP BY 1, 2),
+  list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+  list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 's:' || x))) AS tokens FROM u),
 r(rule, action, suffix, start) AS (VALUES {listed}),
 named AS (SELECT page_id, url, arg_max(rule, (length(rule), rule)) AS rule, arg_max(action, (length(rule), rule)) AS action
-  FROM (SELECT DISTINCT page_id, url, host, path FROM u) JOIN r ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start) GROUP BY 1, 2)
+  FROM (SELECT DISTINCT page_id, url, host, path FROM u) JOIN r ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start) GROUP BY 1, 2),
+label AS (SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY 1),
+known AS (SELECT tokens, coalesce(action = 'block', bad) AS bad FROM k LEFT JOIN named USING (page_id, url)
+  LEFT JOIN label ON doc_id = try_cast(regexp_extract(path, '^/[^/]+/([0-9]+)', 1) AS BIGINT) WHERE len(tokens) > 0 AND coalesce(action = 'block', bad) IS NOT NULL),
+base AS (SELECT greatest({min_count}, ceil({min_support!r} * count(*)), 1) AS least, avg(bad::INT) AS bad FROM known),
+often AS (SELECT list(t) AS common FROM (SELECT t FROM (SELECT unnest(tokens) AS t, bad FROM known) GROUP BY t HAVING count(*) FILTER (bad) >= (SELECT least FROM base))),
+own AS (SELECT tokens, list_sort(list_intersect(tokens, common)) AS few, count(*) AS n, count(*) FILTER (bad) AS hits FROM known CROSS JOIN often GROUP BY tokens, common),
+sets(tokens, few, n, hits, s, place) AS (
+  SELECT tokens, few, n, hits, []::VARCHAR[], 0::BIGINT FROM own
+  UNION ALL SELECT tokens, few, n, hits, list_append(s, few[nth]), nth FROM (SELECT *, unnest(range(place + 1, len(few) + 1)) AS nth FROM sets)),
+mined AS (SELECT s, sum(hits) / sum(n) AS c, sum(n) AS n FROM sets WHERE len(s) > 0 GROUP BY s HAVING sum(hits) >= (SELECT least FROM base) AND sum(hits) / sum(n) >= {min_confidence!r}),
+sure AS (SELECT s, c FROM mined, base WHERE (c + 1.6449 * 1.6449 / n / 2 - sqrt(1.6449 * 1.6449 / n * (c * (1 - c) + 1.6449 * 1.6449 / n / 4))) / (1 + 1.6449 * 1.6449 / n) > base.bad),
+found AS (SELECT tokens, max(c) AS confidence FROM (SELECT DISTINCT tokens FROM k) JOIN sure ON list_has_all(tokens, s) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN confidence IS NULL THEN 'allow' ELSE 'block' END) AS verdict, confidence
-FROM k LEFT JOIN found USING (page_id, url) LEFT JOIN named USING (page_id, url)"""
+FROM k LEFT JOIN found USING (tokens) LEFT JOIN named USING (page_id, url)"""

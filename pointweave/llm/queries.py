@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pointweave.llm import fingerprints, html_extract, language_id, lm_scoring, near_dedup, oracles, packing, piece_codec, quality_classifier, quality_rules, url_filters
 
@@ -24,7 +25,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES, label_key=url_filters.document_of(F.col("url")))
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
