@@ -16,17 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import slices
+from pointweave.llm.common import slices, stored
 
-#: Longest piece that counts, in characters; a piece of one character is always possible.
-LONGEST = 10
-#: A longer word is taken in parts of so many characters.
-PART = 24
 #: Words whose scores a worker keeps; then it starts anew.
 CACHE = 300_000
 #: Probability of a character that is no piece, and added expected count of each piece.
 UNKNOWN, ADDED = 1e-7, 0.05
 START = "▁"
+#: Languages that can be told apart: their probabilities are sent to all tasks.
+MOST_LANGS = 500
+#: Logarithm under which a product of probabilities could no longer be held in a float; and steps between rescalings of long words.
+LEAST_LOG, SPAN = -600.0, 16
 _WORD = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x100000001B3)
 
@@ -45,8 +45,8 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         every = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
-        own = sorted({p.lower() for p in every if len(p) <= LONGEST and (p == START or p.removeprefix(START).isalpha())})
-        self.size = len(own)
+        own = sorted({p.lower() for p in every if (p == START or p.removeprefix(START).isalpha())})
+        self.size, self.longest = len(own), max(map(len, own), default=1)
         keys = self.hashes(own)
         order = np.argsort(keys)
         self.keys, self.index = keys[order], order.astype(np.int32)
@@ -88,25 +88,93 @@ class Pieces:
         code = np.zeros((int(n[0]), len(words)), dtype=np.uint64)
         place = np.arange(len(text)) - np.repeat(starts[:-1], n)
         code[place, np.repeat(np.arange(len(words)), n)] = text
-        pieces = np.full((LONGEST, *code.shape), -1, dtype=np.int32)
+        most = min(self.longest, len(code))
+        pieces = np.full((most, *code.shape), -1, dtype=np.int32)
         h = np.zeros_like(code)
-        for k in range(1, min(LONGEST, len(code)) + 1):
-            # the hash of the k characters from a place on, put down where they end
-            h = h[: len(code) - k + 1] * _BASE + code[k - 1 :]
-            inside = code[k - 1 :] > 0
+        for k in range(1, most + 1):
+            # the hash of the k characters from a place on, put down where they end; words of at least k characters come first
+            m = int(np.searchsorted(-n, -k, side="right"))
+            h = h[: len(code) - k + 1, :m] * _BASE + code[k - 1 :, :m]
+            inside = code[k - 1 :, :m] > 0
             found = np.full(h.shape, -1, dtype=np.int32)
             found[inside] = self.find(self.spread(h[inside]))
-            pieces[k - 1, k - 1 :] = found
+            pieces[k - 1, k - 1 :, :m] = found
         return n, order, pieces
 
+    def apart(self, words: list[str], probs: np.ndarray) -> tuple[list[int], list[int]]:
+        """Places of words whose products are sure to be held in a float, and of longer ones."""
+        most = int(LEAST_LOG / min(-1.0, float(np.log(probs.min())))) if probs.size else 0
+        sizes = [len(w) + 1 <= most for w in words]
+        return [k for k, x in enumerate(sizes) if x], [k for k, x in enumerate(sizes) if not x]
+
     def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """Log-probability of each word (rows) under each column of probs (piece by language; a last row for unknown characters)."""
+        short, long = self.apart(words, probs)
+        out = np.empty((len(words), probs.shape[1]))
+        if short:
+            out[short] = self.forward_short([words[k] for k in short], probs)
+        for k in long:
+            out[k] = self.forward_long(words[k], probs)[-1]
+        return out
+
+    def long_pieces(self, word: str) -> np.ndarray:
+        """pieces[k - 1, place] of one word, with the number of the unknown for characters that are no piece and -1 for what is no piece."""
+        text = np.frombuffer((START + word).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+        pieces = np.full((min(self.longest, len(text)), len(text)), -1, dtype=np.int32)
+        h = np.zeros_like(text)
+        for k in range(1, len(pieces) + 1):
+            h = h[: len(text) - k + 1] * _BASE + text[k - 1 :]
+            pieces[k - 1, k - 1 :] = self.find(self.spread(h))
+        pieces[0][pieces[0] < 0] = self.size
+        return pieces
+
+    def forward_long(self, word: str, probs: np.ndarray, pieces: np.ndarray | None = None) -> np.ndarray:
+        """Log-probability of the word's start up to each place (rows), by the same recursion with a scale of its own for every SPAN places."""
+        pieces = self.long_pieces(word) if pieces is None else pieces
+        n, most = pieces.shape[1], len(pieces)
+        padded = np.vstack([probs, np.zeros((1, probs.shape[1]))])  # the last row stands for -1
+        alpha = np.zeros((most + SPAN, probs.shape[1]))  # rows up to `most` are the last places before this span
+        alpha[most - 1] = 1
+        scale = np.zeros(probs.shape[1])
+        out = np.empty((n + 1, probs.shape[1]))
+        out[0] = 0
+        for lo in range(0, n, SPAN):
+            hi = min(n, lo + SPAN)
+            p = padded[pieces[::-1, lo:hi].T]  # place, longest piece first, language
+            for t in range(hi - lo):
+                alpha[most + t] = (alpha[t : most + t] * p[t]).sum(axis=0)
+            here = alpha[most : most + hi - lo]
+            out[lo + 1 : hi + 1] = np.log(here) + scale
+            kept = alpha[hi - lo : hi - lo + most].copy()
+            top = kept.max(axis=0)
+            scale = scale + np.log(top)
+            alpha[:most] = kept / top
+        return out
+
+    def expected_long(self, word: str, probs: np.ndarray) -> np.ndarray:
+        """Expected number of each piece in one word of any length."""
+        pieces = self.long_pieces(word)
+        n = pieces.shape[1]
+        forward = self.forward_long(word, probs, pieces)[:, 0]
+        # backward: the same recursion over the pieces by where they start, from the end
+        turned = np.full_like(pieces, -1)
+        for k in range(len(pieces)):
+            turned[k, k:] = pieces[k, k:][::-1]
+        backward = self.forward_long(word, probs, turned)[::-1, 0]
+        out, logs = np.zeros(self.size + 1), np.log(probs[:, 0])
+        for k in range(len(pieces)):
+            at = np.flatnonzero(pieces[k] >= 0)
+            own = pieces[k, at]
+            out += np.bincount(own, np.exp(forward[at - k] + logs[own] + backward[at + 1] - forward[n]), minlength=self.size + 1)
+        return out
+
+    def forward_short(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         n, order, pieces = self.lattice(words)
         alpha = np.zeros((len(pieces[0]) + 1, len(words), probs.shape[1]))
         alpha[0] = 1
         for t in range(1, len(alpha)):
             m = int(np.searchsorted(-n, -t, side="right"))  # words of at least t characters come first
-            for k in range(1, min(LONGEST, t) + 1):
+            for k in range(1, min(self.longest, t) + 1):
                 piece = pieces[k - 1, t - 1, :m]
                 if k == 1:
                     alpha[t, :m] += alpha[t - 1, :m] * probs[np.where(piece < 0, self.size, piece)]
@@ -119,6 +187,15 @@ class Pieces:
 
     def expected(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Expected number of each piece in the words (weights: word by language), over all segmentations under probs (one column)."""
+        short, long = self.apart(words, probs)
+        out = np.zeros((self.size + 1, weights.shape[1]))
+        if short:
+            out += self.expected_short([words[k] for k in short], weights[short], probs)
+        for k in long:
+            out += self.expected_long(words[k], probs)[:, None] * weights[k]
+        return out
+
+    def expected_short(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
         n, order, pieces = self.lattice(words)
         p, top = probs[:, 0], len(pieces[0])
         alpha, beta = np.zeros((top + 1, len(words))), np.zeros((top + 1, len(words)))
@@ -127,7 +204,7 @@ class Pieces:
         steps = []
         for t in range(1, top + 1):
             m = int(np.searchsorted(-n, -t, side="right"))
-            for k in range(1, min(LONGEST, t) + 1):
+            for k in range(1, min(self.longest, t) + 1):
                 piece = pieces[k - 1, t - 1, :m]
                 has = np.arange(m) if k == 1 else np.flatnonzero(piece >= 0)
                 own = np.where(piece[has] < 0, self.size, piece[has])
@@ -149,10 +226,6 @@ def pieces(model_path: str) -> Pieces:
     return Pieces(model_path)
 
 
-def parts(word: str) -> list[str]:
-    return [word[k : k + PART] for k in range(0, len(word), PART)]
-
-
 def held_out(column: str = "doc_id") -> F.Column:
     """Documents that are never learned from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(True))
@@ -175,12 +248,10 @@ def train(docs: DataFrame, model_path: str) -> DataFrame:
             nonlocal total
             own: dict[str, int] = {}
             for word, _ in count:
-                for p in parts(word):
-                    own.setdefault(p, len(own))
+                own.setdefault(word, len(own))
             weights = np.zeros((len(own), len(langs)))
             for (word, lang), n in count.items():
-                for p in parts(word):
-                    weights[own[p], lang] += n
+                weights[own[word], lang] += n
             total = np.pad(total, ((0, 0), (0, len(langs) - total.shape[1])))
             words = list(own)
             for k in range(0, len(words), 20_000):
@@ -207,7 +278,12 @@ def train(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def probabilities(counts: DataFrame, model_path: str) -> tuple[list[str], np.ndarray]:
-    """Languages and the probability of each piece in each; the driver gets a number for each language and piece of the vocabulary."""
+    """Languages and the probability of each piece in each; the driver gets a number for each language and piece of the vocabulary.
+
+    Raises ValueError if there are over MOST_LANGS languages, as where the column holds something else."""
+    counts = stored(counts, "piece-counts")
+    if (n := counts.select("lang").distinct().count()) > MOST_LANGS:
+        raise ValueError(f"{n} languages are more than {MOST_LANGS}")
     rows = counts.toPandas()
     langs = sorted(rows["lang"].unique())
     size = pieces(model_path).size
@@ -239,11 +315,7 @@ class Scorer:
         flat = np.fromiter((place.setdefault(w, len(place)) for x in own for w in x), dtype=np.int64, count=sum(map(len, own)))
         new = list(place)[known:]
         if new:
-            split = [parts(w) for w in new]
-            every = [p for x in split for p in x]
-            scores = np.concatenate([self.pieces.forward(every[k : k + 20_000], self.probs) for k in range(0, len(every), 20_000)])
-            if len(every) > len(new):
-                scores = np.add.reduceat(scores, np.cumsum([0, *(len(x) for x in split[:-1])]))
+            scores = np.concatenate([self.pieces.forward(new[k : k + 20_000], self.probs) for k in range(0, len(new), 20_000)])
             self.score = np.concatenate([self.score, scores])
         n = np.array([len(x) for x in own])
         out = np.zeros((len(own), self.probs.shape[1]))
@@ -285,7 +357,7 @@ def identify(docs: DataFrame, model_path: str, training: DataFrame | None = None
 
     Learns from text and non-null lang of documents that are not held out; lang is no input of a prediction. Null,
     empty or letterless text gets `und`. A null doc_id counts as held out. Repeated rows give repeated rows, an empty table
-    none; further columns are not read. The number of languages is taken to be small (hundreds).
+    none; further columns are not read. Over MOST_LANGS languages to learn from are an error.
     """
     langs, probs = probabilities(train(docs if training is None else training, model_path), model_path)
     return predict(docs, langs, probs, model_path).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")

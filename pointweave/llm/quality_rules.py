@@ -1,8 +1,8 @@
 """Quality rules with risk-controlled cutoffs.
 
-Fixed base rules reject broken documents. The other rules' cutoffs are chosen from labelled holdouts: for each stratum and
-rule the strictest cutoff of a fixed grid whose false-rejection rate is shown, by an exact binomial bound corrected for all
-tests, to be under a limit.
+Fixed base rules reject broken documents. The other rules' cutoffs are chosen with labelled holdouts: for each stratum the
+strictest step of a sequence, drawn from other labelled documents, whose rate of false rejections is shown by an exact
+binomial bound to be under a limit. Steps are tested in a fixed sequence, strata with a correction for their number.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import stored
+from pointweave.llm.common import looked_up, stored, stored_with
 
 #: The base rules.
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
@@ -24,6 +25,9 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines"]
 #: Rules: a ratio and the cutoffs that are tried; a document above a cutoff is rejected.
+#: Steps, loosest first: the share of the good documents that a rule may reject where the steps are drawn, and by how many places of
+#: GRID its cutoff is then raised.
+STEPS = [(0.0, 4), (0.0, 3), (0.0, 2), (0.0, 1), (0.0, 0), (0.0005, 0), (0.001, 0), (0.0015, 0), (0.002, 0), (0.003, 0), (0.004, 0), (0.005, 0), (0.0075, 0), (0.01, 0), (0.015, 0), (0.02, 0)]
 GRID = [0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
@@ -98,44 +102,73 @@ def chance_of_at_most(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def cutoffs(rows: list[tuple[str, str, int, list[int]]], risk: float, level: float) -> dict[tuple[str, str], float]:
-    """The cutoff of each (stratum, rule) that gets one.
+def steps(rows: pd.DataFrame) -> pd.DataFrame:
+    """stratum and cuts (a cutoff of GRID for each rule and each of STEPS) from n and over, the documents over each rule's cutoffs."""
+    cuts = []
+    for n, over in zip(rows["n"], rows["over"], strict=True):
+        of_rule = np.asarray(over).reshape(-1, len(GRID))
+        # the least cutoff with few enough rejections, raised; no ratio is over 1
+        cuts.append([[([*GRID, 1.0] + [1.0] * up)[int(np.argmax(np.append(x <= math.floor(share * n), True))) + up] for share, up in STEPS] for x in of_rule])
+    return pd.DataFrame({"stratum": rows["stratum"], "cuts": cuts})
+
+
+def prove(rows: pd.DataFrame, risk: float, level: float) -> pd.DataFrame:
+    """Strata with the cutoffs of the strictest step that is proven, from n and rejected (an array over STEPS): steps are tested from the loosest on, and the first that fails ends it."""
+    out = []
+    for stratum, n, rejected, cuts in zip(rows["stratum"], rows["n"], rows["rejected"], rows["cuts"], strict=True):
+        proven = None
+        for step, k in enumerate(rejected):
+            if chance_of_at_most(int(k), int(n), risk) > level:
+                break
+            proven = step
+        if proven is not None:
+            out.append((stratum, [c[proven] for c in cuts], int(n), int(rejected[proven])))
+    return pd.DataFrame(out, columns=["stratum", "cuts", "n", "rejected"])
+
+
+def labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """The measured documents that pass the base rules and have a label of quality 1, with fold: whether a hash of the id puts them in the quarter that steps are drawn from."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return measured.where(~base_failed()).join(good, "doc_id", "left_semi").withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 4 == 0)
+
+
+def learn(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
+    """stratum, cuts (a cutoff for each of ratios()), n and rejected (of the holdout) of each stratum that gets cutoffs.
 
-    rows: stratum, rule, number of good documents, and how many of those each cutoff of GRID would reject. A cutoff is
-    proven if so few rejections, at the rate risk / rules, had a chance of at most level / (all strata, rules and cutoffs).
+    A quarter of the labelled good documents draws a sequence of steps: at a step each rule has the least cutoff of GRID that rejects no
+    more than that step's share of them, or one some places above it. The other documents are the holdout. A step is proven if so few of them are rejected by any rule
+    that this had a chance of at most level / strata at the rate risk; being tested in a fixed sequence, steps need no correction. So
+    with probability 1 - level no stratum loses more than the share risk of its good documents to the cutoffs.
     """
-    rules = len({rule for _, rule, _, _ in rows})
-    found = {}
-    for stratum, rule, n, rejected in rows:
-        proven = [c for c, k in zip(GRID, rejected, strict=True) if n and chance_of_at_most(k, n, risk / rules) <= level / (len(rows) * len(GRID))]
-        if proven:
-            found[stratum, rule] = min(proven)
-    return found
+    rows = stored(labelled(measured, labels).select("stratum", "fold", *(r.alias(rule) for rule, r in ratios().items())), "labelled")
+    rules = list(ratios())
+    over = [F.sum((F.col(rule) > c).cast("long")) for rule in rules for c in GRID]
+    drawn = rows.where("fold").groupBy("stratum").agg(F.count("*").alias("n"), F.array(*over).alias("over"))
 
+    drawn = stored(drawn.mapInPandas(lambda parts: map(steps, parts), "stratum string, cuts array<array<double>>"), "steps")
+    strata = drawn.count()
+    held = looked_up(rows.where("not fold"), drawn, "stratum", rows.count())
+    rejected = [F.sum(F.greatest(*((F.col(rule) > F.get(F.get("cuts", F.lit(k)), F.lit(step))).cast("long") for k, rule in enumerate(rules)))) for step in range(len(STEPS))]
+    tested = held.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*rejected).alias("rejected"), F.first("cuts").alias("cuts"))
 
-def learn(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> dict[tuple[str, str], float]:
-    """Cutoffs from all labelled documents with quality 1 that pass the base rules; column stratum of measured gives the strata.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield prove(part, risk, level / max(1, strata))
 
-    Labels count once a doc_id; null labels count as none. The driver gets a row for each stratum and rule.
-    """
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
-    tests = [F.sum((ratio > c).cast("long")).alias(f"{rule}_{k}") for rule, ratio in ratios().items() for k, c in enumerate(GRID)]
-    counted = rows.groupBy("stratum").agg(F.count("*").alias("n"), *tests).collect()
-    return cutoffs([(r.stratum, rule, r.n, [r[f"{rule}_{k}"] for k in range(len(GRID))]) for r in counted for rule in ratios()], risk, level)
+    return stored(tested.mapInPandas(run, "stratum string, cuts array<double>, n long, rejected long"), "cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, level: float = 0.05) -> DataFrame:
     """Counts, base_failed, kept and the failed rules (array) for every document.
 
     kept: the base rules hold and no ratio is over its stratum's cutoff. With probability 1 - level, no stratum loses more
-    than the share `risk` of its good documents to the cutoffs. stratum names a column of docs of few values; null is a
+    than the share `risk` of its good documents to the cutoffs. stratum names a column of docs; null is a
     stratum of its own, and one without enough labelled documents has no cutoffs. Null text: no words, so base_failed.
     Repeated rows give repeated rows, an empty table none; no labels mean no cutoffs; further columns are not read.
     """
-    measured = stored(measure(docs, stratum), "measured")
-    found = learn(measured, labels, risk, level)
-    failed = [F.when((F.col("stratum") == s) & (ratios()[rule] > c), F.lit(rule)) for (s, rule), c in sorted(found.items())]
-    failed = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-    return measured.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-
+    measured, seen = stored_with(measure(docs, stratum), "measured", n=F.count("*"))
+    found = learn(measured, labels, risk, level).select("stratum", "cuts")
+    failed = [F.when(ratio > F.get("cuts", F.lit(k)), F.lit(rule)) for k, (rule, ratio) in enumerate(ratios().items())]
+    met = looked_up(measured, found, "stratum", seen["n"], "left")
+    out = met.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_compact(F.array(*failed))).drop("cuts")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

@@ -14,14 +14,14 @@ PATH = public_tokenizers.path("piece_bpe_32k.model")
 def vocabulary():
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
     every = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
-    return sorted({p.lower() for p in every if len(p) <= li.LONGEST and (p == "▁" or p.removeprefix("▁").isalpha())})
+    return sorted({p.lower() for p in every if (p == "▁" or p.removeprefix("▁").isalpha())})
 
 
 def segmentations(text, index):
     """All segmentations of text into pieces (or single unknown characters), as lists of piece numbers."""
     if not text:
         yield []
-    for k in range(1, min(li.LONGEST, len(text)) + 1):
+    for k in range(1, min(li.pieces(PATH).longest, len(text)) + 1):
         piece = text[:k]
         if piece in index or k == 1:
             for rest in segmentations(text[k:], index):
@@ -29,7 +29,7 @@ def segmentations(text, index):
 
 
 def test_forward_sums_all_segmentations():
-    pieces, words = li.pieces(PATH), ["a", "the", "nation", "größe", "été", "的x", "zzzz"]
+    pieces, words = li.pieces(PATH), ["a", "the", "nation", "größe", "été", "的x", "zzzz", "internationalization"]
     index = {p: k for k, p in enumerate(vocabulary())}
     assert pieces.size == len(index)
     probs = np.random.default_rng(0).dirichlet(np.ones(pieces.size), 2).T
@@ -56,6 +56,49 @@ def test_expected_counts():
     assert np.allclose(got, want)
 
 
+def test_no_piece_is_left_out():
+    assert li.pieces(PATH).longest > 10 and li.pieces(PATH).size == len(vocabulary())
+
+
+def test_long_words(monkeypatch):
+    """Words past what floats hold, in one piece: against the recursion in logarithms, and the short way where both work."""
+    pieces = li.pieces(PATH)
+    index = {p: k for k, p in enumerate(vocabulary())}
+    probs = np.vstack([np.random.default_rng(0).dirichlet(np.ones(pieces.size), 2).T, [li.UNKNOWN] * 2])
+    words = ["donaudampfschifffahrtsgesellschaft" * 9, "的" * 300, "zzzzqqqq" * 40, "a" * 500]
+
+    def logs(text, lang):
+        out = [0.0]
+        for t in range(1, len(text) + 1):
+            terms = [out[t - k] + math.log(probs[index.get(text[t - k : t], -1), lang]) for k in range(1, min(pieces.longest, t) + 1) if k == 1 or text[t - k : t] in index]
+            out.append(max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms)))
+        return out[-1]
+
+    got = pieces.forward([*words, "nation"], probs)
+    for w, row in zip([*words, "nation"], got, strict=True):
+        for lang in range(2):
+            assert row[lang] == pytest.approx(logs("▁" + w, lang), rel=1e-9)
+    flat = np.full((pieces.size + 1, 1), 1 / pieces.size)
+    flat[-1] = li.UNKNOWN
+    some = ["donaudampfschifffahrtsgesellschaft", "internationalization", "的x", "nation"]
+    weights = np.array([[1.0], [2], [1], [5]])
+    short, ways = pieces.forward(some, probs), pieces.expected(some, weights, flat)
+    monkeypatch.setattr(li, "LEAST_LOG", -1.0)
+    assert np.allclose(pieces.forward(some, probs), short, rtol=1e-9) and np.allclose(pieces.expected(some, weights, flat), ways, atol=1e-9)
+
+
+def test_very_long_text(spark):
+    rows = [(k, t, x) for k, (t, x) in enumerate([("the nation of words " * 150_000, "en"), ("x" * 300_000, "en"), ("die größe der wörter " * 200, "de"), ("le mot et la nation", "fr")] * 3)]
+    got = li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()
+    assert len(got) == 12 and all(r.lang_pred == "en" for r in got if r.doc_id % 4 == 0)
+
+
+def test_too_many_languages(spark):
+    rows = [(k, "some text", f"l{k}") for k in range(800)]
+    with pytest.raises(ValueError):
+        li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     langs = {r.doc_id: r.lang for r in docs.collect()}
