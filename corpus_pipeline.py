@@ -28,23 +28,26 @@ def kept_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not `und`, and no doubt about which."""
+    """Documents with a language: not `und` (as of null text and text without letters), and no doubt about which. Where the column lang is null, it gets the language found."""
     found = language_id.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return kept_rows(docs, found.withColumn("kept", (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    kept = kept.groupBy(F.col("doc_id").alias("_kept")).agg(F.min("lang_pred").alias("_found"))
+    met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]))
+    return met.withColumn("lang", F.coalesce("lang", "_found")).select(docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the cutoffs of their language."""
+    """Documents that pass the base rules and the cutoffs of their language; null text passes none."""
     return kept_rows(docs, quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id."""
+    """One document of each group of near-duplicates, the one with the least doc_id; null text is in no group and stays."""
     return kept_rows(docs, near_dedup.near_duplicates(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the kept documents in their sequences."""
+    """The pieces of the kept documents in their sequences; null text is a separator alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
 
