@@ -8,15 +8,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.llm.common import arrow_map, stored
 
 ROWS_PER_RANGE = 100_000
-MOST_RANGES = 4096
+EDGES = 1024
 LEAST_ID = -(2**63)
-NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canonical_sha256 string"
+NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canonical_sha256 string, edited_canonical_sha256 string"
 
 
 def canonical(text: str) -> str:
@@ -77,51 +77,59 @@ def fingerprint(docs: DataFrame, bits: int = 128) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(source.mapInArrow(arrow_map(make, ["doc_id", "fingerprint", "sha256"]), "doc_id long, fingerprint string, sha256 string"), "fingerprints")
-    return parted(rows, collisions(docs, rows, bits), "sha256")
+    return parted(rows, collisions(docs, rows, bits), {"fingerprint": "sha256"})
 
 
-def parted(rows: DataFrame, clash: DataFrame, sha256: str) -> DataFrame:
-    """rows without column sha256, which is appended to fingerprints that clash has."""
-    clash = stored(clash, "clashes")
+def parted(rows: DataFrame, clash: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows in which fingerprints (columns, the keys of names) that clash has get the sha256 in the column that names gives, which goes."""
+    clash = stored(clash.distinct(), "clashes")
     if not clash.isEmpty():
-        marked = rows.join(clash.withColumn("clash", F.lit(True)), "fingerprint", "left")
-        rows = marked.withColumn("fingerprint", F.when(F.col("clash"), F.concat("fingerprint", F.lit("-"), sha256)).otherwise(F.col("fingerprint"))).select(rows.columns)
-    return rows.drop(sha256)
+        for column, sha256 in names.items():
+            marked = rows.join(clash.select(F.col("fingerprint").alias(column), F.lit(True).alias("clash")), column, "left")
+            rows = marked.withColumn(column, F.when(F.col("clash"), F.concat(column, F.lit("-"), sha256)).otherwise(F.col(column))).select(rows.columns)
+    return rows.drop(*names.values())
 
 
 def ranged(docs: DataFrame) -> DataFrame:
     """docs dealt into ranges of doc_id and sorted there; after a range's rows comes a copy (peek) of the next range's first.
 
-    The order is circular: the first range follows the last. Range bounds and first ids come from the doc_id column alone;
-    the driver holds two numbers a range, of which there are MOST_RANGES at most.
+    The order is circular: the first range follows the last. There are as many ranges as the number of rows asks for: EDGES
+    at most by quantiles of the ids, cut evenly from there on. Rows of one doc_id are in one range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = rows.select("doc_id")
-    n = ids.count()
-    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_RANGE)))
-    edges = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if n and parts > 1 else []
-    own = F.coalesce(_range_of(edges), F.lit(0)).cast("int")
+    n, low, high = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_PER_RANGE))
+    parts = min(EDGES, ranges)
+    edges = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if low is not None and parts > 1 else []
+    own = F.coalesce(_range_of(edges), F.lit(0)).cast("long")
+    if low is not None and (cuts := -(-ranges // parts)) > 1:
+        ends = F.array(*map(F.lit, [low, *edges, high + 1]))
+        lo, hi = F.get(ends, own).cast("double"), F.get(ends, own + 1).cast("double")
+        within = F.floor((F.col("doc_id").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * F.lit(cuts))
+        own = own * F.lit(cuts) + F.coalesce(F.greatest(F.lit(0), F.least(within, F.lit(cuts - 1))), F.lit(0)).cast("long")
     key = F.coalesce("doc_id", F.lit(LEAST_ID))
-    first = {r[0]: r[1] for r in ids.groupBy(own.alias("range")).agg(F.min(key).alias("first")).collect()}
-    order = sorted(first)
-    peeks = spark.createDataFrame([(first[order[k]], order[k - 1]) for k in range(len(order))], "key long, earlier int")
+    firsts = ids.groupBy(own.alias("range")).agg(F.min(key).alias("key"))
+    # windows over a row for each range
+    before = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.last("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    peeks = firsts.select("key", before.alias("earlier"))
     sent = rows.withColumn("range", own).withColumn("key", key).join(F.broadcast(peeks), "key", "left")
     copies = F.array(F.struct("range", F.lit(0).alias("peek")))
     both = F.array(F.struct("range", F.lit(0).alias("peek")), F.struct(F.col("earlier").alias("range"), F.lit(1).alias("peek")))
     dealt = sent.withColumn("copy", F.explode(F.when(F.col("earlier").isNull(), copies).otherwise(both)))
     dealt = dealt.select("copy.range", "copy.peek", "doc_id", F.xxhash64("text").alias("tie"), "text")
-    return dealt.repartition(max(1, len(order)), "range").sortWithinPartitions("range", "peek", "doc_id", "tie")
+    return dealt.repartition(max(1, ranges), "range").sortWithinPartitions("range", "peek", "doc_id", "tie")
 
 
-def _range_of(edges: list[float]):
+def _range_of(edges: list[int]):
     """How many edges are at most doc_id, as nested halves: as many comparisons as the number's bits."""
 
     def half(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= F.lit(int(edges[mid])), half(mid + 1, hi)).otherwise(half(lo, mid))
+        return F.when(F.col("doc_id") >= F.lit(edges[mid]), half(mid + 1, hi)).otherwise(half(lo, mid))
 
     return half(0, len(edges))
 
@@ -131,7 +139,7 @@ def with_next(docs: DataFrame, bits: int = 128) -> DataFrame:
 
     The edited text's last floor(n_chars / 2) code points are the first as many of the next document in ascending doc_id
     (null first; equal ids by a hash of the text; after the last comes the first). An exact fingerprint's likeness is 1 for equal
-    canonical bytes, else 0. Null text counts as empty. Repeated rows are documents of their own; an empty table gives no
+    canonical bytes, else 0; fingerprints of edited texts are parted from those of other texts, too. Null text counts as empty. Repeated rows are documents of their own; an empty table gives no
     rows; further columns of docs are not read.
     """
 
@@ -146,12 +154,14 @@ def with_next(docs: DataFrame, bits: int = 128) -> DataFrame:
                     n = len(held[2])
                     edited = held[2][: n - n // 2] + text[: n // 2]
                     edited_canon = canonical(edited)
-                    out.append((held[1], n, hashlib.sha256(edited.encode()).hexdigest(), digest(held[3], bits), digest(edited_canon, bits), float(held[3] == edited_canon), float(held[3] == canon), hashlib.sha256(held[3].encode()).hexdigest()))
+                    out.append((held[1], n, hashlib.sha256(edited.encode()).hexdigest(), digest(held[3], bits), digest(edited_canon, bits), float(held[3] == edited_canon), float(held[3] == canon), hashlib.sha256(held[3].encode()).hexdigest(), hashlib.sha256(edited_canon.encode()).hexdigest()))
                 held = (rng, doc_id, text, canon, not peek)
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
                 names = [x.split()[0] for x in NEIGHBOURS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     rows = stored(ranged(docs).mapInArrow(run, NEIGHBOURS), "neighbours")
-    return parted(rows, collisions(docs, rows, bits), "canonical_sha256")
+    texts = rows.select("fingerprint", F.col("canonical_sha256").alias("sha")).union(rows.select("edited_fingerprint", "edited_canonical_sha256"))
+    edited = texts.groupBy("fingerprint").agg(F.min("sha").alias("least"), F.max("sha").alias("greatest")).where("least != greatest").select("fingerprint")
+    return parted(rows, collisions(docs, rows, bits).union(edited), {"fingerprint": "canonical_sha256", "edited_fingerprint": "edited_canonical_sha256"})

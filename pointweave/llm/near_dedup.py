@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import slices, stored
+from pointweave.llm.common import looked_up, slices, stored, stored_with
 from pointweave.operators.components import connected as components
 
 WORDS = 5
@@ -67,6 +67,10 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(total)
 
 
+def set_hash(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
 def minima(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     """For each set, which isn't empty, the minimum under each hash."""
     flat = np.concatenate(sets)
@@ -98,7 +102,7 @@ def sketches(docs: DataFrame, hashes: int, rows: int, words: int) -> DataFrame:
                         keys = mixed(keys * factor[k] + low[:, :, k])
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(map(set_hash, sets), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))],
                     ["doc_id", "n_shingles", "set_hash", "bands"],
                 )
 
@@ -155,40 +159,41 @@ def links(sets: list[np.ndarray], signatures: np.ndarray, left: np.ndarray, perc
 
 
 def confirmed(groups: DataFrame, docs: DataFrame, percent: int, hashes: int, words: int, slack: float) -> DataFrame:
-    """Links (a, b) inside candidate groups (columns doc_id, group, n: its number of documents), enough for the components."""
+    """Links (a, b: set hashes) inside candidate groups (columns set_hash, head: the document that stands for it, group, n: its number of classes), enough for the components."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    block = F.pmod(F.xxhash64("set_hash"), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    members = groups.withColumn("block", block).join(texts, "doc_id").withColumn("pair", F.explode(pair))
-    dealt = members.select("group", "pair.i", "pair.j", (F.col("block") == F.col("pair.i")).alias("left"), "doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("binary").alias("text"))
+    members = groups.withColumn("block", block).join(texts, "head").withColumn("pair", F.explode(pair))
+    dealt = members.select("group", "pair.i", "pair.j", (F.col("block") == F.col("pair.i")).alias("left"), "set_hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        out: list[tuple[int, int]] = []
+        key, held = None, {}
+        out: list[tuple[bytes, bytes]] = []
 
         def close() -> None:
-            seen = {d: (t, left) for d, t, left in held}  # repeated rows of an id: one of them stands for all
-            if len(seen) > 1:
-                ids = list(seen)
-                sets = [shingles(t, words) for t, _ in seen.values()]
-                left = np.array([x for _, x in seen.values()])
-                out.extend((ids[i], ids[j]) for i, j in links(sets, minima(sets, hashes), left, percent, slack))
+            if len(held) > 1:
+                own, left = list(held), np.array([x for _, x in held.values()])
+                sets = [s for s, _ in held.values()]
+                out.extend((own[i], own[j]) for i, j in links(sets, minima(sets, hashes), left, percent, slack))
 
         for batch in batches:
-            for *now, left, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for *now, left, own, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if now != key:
                     close()
-                    key, held = now, []
-                held.append((doc_id, text, left))
+                    key, held = now, {}
+                if own not in held:  # repeated rows of an id may have other texts, which are other classes
+                    s = shingles(text, words)
+                    if set_hash(s) == own:
+                        held[own] = (s, left)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
                 out.clear()
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "doc_id").mapInArrow(run, "a long, b long")
+    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, rows: int = 5, bands: int = 40, words: int = WORDS, slack: float = 0.2) -> DataFrame:
@@ -197,25 +202,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, rows: int = 5, bands: in
     Two documents are linked if 100 times their shared shingles is at least percent times all their shingles. Equal sets are
     one class first. Classes that agree in all rows of a band are candidates; the candidates' components are split into
     blocks, and each task compares two blocks: by signature, then on the full sets, so no group is in one task and no list of all
-    pairs is made. A pair at the limit shares no band with probability (1 - (percent/100)^rows)^bands: 1e-7 by default.
+    pairs is made. A pair at the limit shares no band with probability (1 - (percent/100)^rows)^bands: 1e-7 by default. Classes and bands with very
+    many rows meet what belongs to them by broadcast.
 
     Null, empty or blank text: no shingles, linked with nothing. Fewer than `words` words: the sequence is the one shingle.
-    Repeated rows of a doc_id give repeated rows, which share the least row's links; a row with null doc_id is linked with
+    Repeated rows of a doc_id give repeated rows, each linked by its own text; a row with null doc_id is linked with
     nothing, has null component_id and is kept. An empty table gives no rows; further columns are not read.
     """
     hashes = rows * bands
-    drawn = stored(sketches(docs, hashes, rows, words), "sketches")
+    drawn, seen = stored_with(sketches(docs, hashes, rows, words), "sketches", n=F.count("*"))
     # one document stands for all with its set; a hot set is a row a task before the shuffle
     classes = drawn.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("head"))
-    heads = stored(classes, "classes")
-    keys = drawn.select("doc_id", "bands").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
-    near = keys.join(shared, "band").where("doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    groups = components(near).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "group")
+    heads, of_heads = stored_with(classes, "classes", n=F.count("*"))
+    first = heads.select("set_hash", F.col("head").alias("doc_id"))
+    keys = drawn.select("set_hash", "doc_id", "bands").join(first, ["set_hash", "doc_id"], "left_semi").select("set_hash", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.min("set_hash").alias("pivot"), F.max("set_hash").alias("last")).where("pivot != last").select("band", "pivot")
+    near = looked_up(keys, shared, "band", bands * of_heads["n"]).where("set_hash != pivot").select(F.col("set_hash").alias("a"), F.col("pivot").alias("b"))
+    groups = components(near).withColumnRenamed("node", "set_hash").withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    found = confirmed(stored(groups.join(sizes, "group"), "groups"), docs, percent, hashes, words, slack)
-    least = components(found).select(F.col("node").alias("head"), F.col("component"))
-    named = stored(heads.join(least, "head", "left").select("set_hash", F.coalesce("component", "head").alias("component")), "named")
-    known = drawn.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash")).join(named, "set_hash", "left")
+    grouped = looked_up(groups, sizes, "group", of_heads["n"]).join(heads, "set_hash")
+    found = confirmed(stored(grouped, "groups"), docs, percent, hashes, words, slack)
+    tied = heads.join(components(found).withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", "head", F.coalesce("component", "set_hash").alias("part"))
+    tied = stored(tied, "tied")
+    least = tied.groupBy("part").agg(F.min("head").alias("component"))
+    named = stored(looked_up(tied, least, "part", of_heads["n"]).select("set_hash", "component"), "named")
+    own = drawn.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
+    known = looked_up(own, named, "set_hash", seen["n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return known.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -108,12 +108,14 @@ class PieceCodec:
         """Ids of text between two places where nothing can be merged by rule of its white space."""
         out: list[int] = []
         at = 0
+        if len(self.parts) > CACHE:
+            self.parts.clear()
         for k in range(1, len(chunk) + 1):
             if k == len(chunk) or (chunk[k - 1], chunk[k]) not in self.joined:
                 part = chunk[at:k]
                 if (ids := self.parts.get(part)) is None:
                     ids = self.merge(part)
-                    if len(part) <= 32:
+                    if len(part) <= 32 and len(self.parts) <= CACHE:
                         self.parts[part] = ids
                 out += ids
                 at = k
@@ -257,7 +259,7 @@ def encode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
     """doc_id, ids (array of int) and decoded (text) of every whole text, without begin or end ids.
 
     Null text counts as empty: no ids, empty text. Repeated rows give repeated rows; an empty table gives none; further
-    columns of docs are not read. check: compare with the sentencepiece library and raise at a difference.
+    columns of docs are not read. check: compare with the sentencepiece library; a difference is a ValueError that ends the job.
     """
 
     def make():

@@ -1,7 +1,7 @@
 """Ordinal quality classifier: cumulative-link regression on graded ratings with hashed text features.
 
 All grades share one weight for each hashed token; ordered thresholds part the grades. A text gets its expected grade and
-the probability of the best grade.
+the probability of each grade or a better one.
 """
 
 from __future__ import annotations
@@ -119,13 +119,13 @@ class CumulativeLink:
         return cls(index[often], x[:m].astype(np.float32), x[m] + np.concatenate([[0.0], np.cumsum(np.exp(x[m + 1 :]))]))
 
     def grades(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected grade, and probability of the best one."""
+        """Expected grade, and probabilities (columns) of at least each grade from 1 on."""
         flat = np.concatenate(rows)
         at = np.minimum(np.searchsorted(self.index, flat), max(0, len(self.index) - 1))
         w = np.where(self.index[at] == flat, self.weights[at], 0) if len(self.index) else np.zeros(len(flat))
         score = np.add.reduceat(w, np.cumsum([0, *(len(r) for r in rows[:-1])]))
         above = 1 - sigmoid(self.thresholds[None, :] - score[:, None])
-        return above.sum(axis=1), above[:, -1]
+        return above.sum(axis=1), above
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> CumulativeL
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 12_000, least_tail: float = 0.5) -> DataFrame:
-    """doc_id, expected_grade (0 to 2), tail_probability (of grade 2) and kept (that is at least least_tail) of every whole text.
+    """doc_id, expected_grade (0 to 2), tail_probability_1 (of a grade of at least 1), tail_probability (of grade 2) and kept (the latter is at least least_tail) of every whole text.
 
     Labels: doc_id, quality, toxic (null toxic counts as not toxic; without a quality label a row is not used). Null or empty
     text is judged by its shape alone. Without labels all thresholds lie at even odds. Repeated rows give repeated rows,
@@ -161,7 +161,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = 12_000, least_tail:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 expected, tail = model.value.grades([features(t) for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= least_tail)], ["doc_id", "expected_grade", "tail_probability", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(expected, pa.float64()), *(pa.array(np.ascontiguousarray(x), pa.float64()) for x in tail.T), pa.array(tail[:, -1] >= least_tail)], ["doc_id", "expected_grade", "tail_probability_1", "tail_probability", "kept"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return source.mapInArrow(run, "doc_id long, expected_grade double, tail_probability_1 double, tail_probability double, kept boolean")

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from pointweave import shared
 from pointweave.llm import near_dedup as nd
 
 
@@ -75,3 +76,26 @@ def test_components(spark):
     got = nd.components(spark.createDataFrame(pairs, "a long, b long"))
     assert {r.node: r.component for r in got.collect()} == {x: find(x) for x in root}
     assert nd.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Each text of an id that comes twice is linked with its own near copies."""
+    text = lambda w: " ".join(f"{w}{k}" for k in range(200))
+    rows = [(1, text("a")), (1, text("b")), (5, text("a") + " more"), (6, text("b") + " more"), (6, text("b") + " more"), (7, text("c"))]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (6, 1, False), (7, 7, True)]
+
+
+def test_hot_classes_and_bands(spark, documents, monkeypatch):
+    """The same with every key of some rows hot."""
+    want = sorted(map(tuple, nd.near_duplicates(documents.union(documents)).collect()))
+    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    monkeypatch.setattr(shared, "LEAST_HOT", 2)
+    assert sorted(map(tuple, nd.near_duplicates(documents.union(documents)).collect())) == want
+
+
+def test_very_long_texts(spark):
+    base = " ".join(f"w{k}" for k in range(400_000))
+    rows = [(3, base), (4, base + " one more word"), (5, "x" * 3_000_000), (6, base[1_200_000:])]
+    got = {r.doc_id: r for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].component_id for k in (3, 4, 5, 6)] == [3, 3, 5, 6] and got[3].n_shingles == 399_996
