@@ -44,13 +44,20 @@ def forest_refined(edges: DataFrame) -> DataFrame:
     return refine.refined(edges, forest_only(edges))
 
 
+def first_tree_only(edges: DataFrame) -> DataFrame:
+    """The forest's signs in the component of the least node of all; elsewhere all signs stay as they are."""
+    solution = stored(forest_only(edges), "solution")
+    first = solution.agg(F.min("component")).first()[0]
+    return solution.select("node", "component", F.when(F.col("component") == F.lit(first), F.col("sign")).otherwise(F.lit(1)).alias("sign"))
+
+
 def components_only(edges: DataFrame) -> DataFrame:
     """All signs as they are; only components."""
     return components.connected(edges.select(F.col("hi").alias("a"), F.col("lo").alias("b"))).withColumn("sign", F.lit(1))
 
 
 #: Solvers: from edges (hi, lo, weight) to node, component, sign.
-SOLVERS: dict[str, Callable[[DataFrame], DataFrame]] = {"forest": forest_only, "refined": forest_refined, "components": components_only}
+SOLVERS: dict[str, Callable[[DataFrame], DataFrame]] = {"forest": forest_only, "first tree": first_tree_only, "refined": forest_refined, "components": components_only}
 
 
 def solve(edges: DataFrame, solver: str = "refined") -> DataFrame:

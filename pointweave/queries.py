@@ -22,6 +22,7 @@ from pointweave.streaming import sweep
 K, RADIUS = 6, 0.1
 FLAGSHIP = "orient_global"
 DAY = 86_400.0
+STREAM_FILES = 3
 ROTATION = [[0.36, 0.48, -0.8], [-0.8, 0.6, 0.0], [0.48, 0.64, 0.6]]
 SHIFT = (1.5, -2.25, 0.125)
 
@@ -106,6 +107,26 @@ def orient_refine(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).select("step", "energy", "edges")
 
 
+def forest_energies(spark: SparkSession, sf: str) -> DataFrame:
+    """Energies of the labelling as it comes and after the forest."""
+    edges, _, solution = solved_e(spark, sf)
+    parts = [rounded(graph.model_energy(edges, s)).withColumn("step", F.lit(name)) for name, s in (("as it came", solution.withColumn("sign", F.lit(1))), ("forest", solution))]
+    return parts[0].union(parts[1])
+
+
+def edge_stats_resigned(spark: SparkSession, sf: str) -> DataFrame:
+    edges, _, solution = solved_e(spark, sf)
+    return graph.edge_stats(graph.resigned(edges, solution))
+
+
+def orient_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Flipped by coins, cloud E is oriented again: energies of its graph before and after, by both ways."""
+    cloud = transform.randomized(cloud_e(spark, sf))
+    energy = lambda c, name: graph.energy(graph.edges_global(c, K, RADIUS)).withColumn("step", F.lit(name))
+    parts = [energy(cloud, "flipped"), energy(orient.orient_global(cloud, K, RADIUS), "global"), energy(orient.orient_stream(cloud, K, RADIUS), "stream")]
+    return parts[0].union(parts[1]).union(parts[2]).select("step", "energy", "edges")
+
+
 def slice_size(spark: SparkSession, sf: str) -> DataFrame:
     cloud = cloud_v(spark, sf)
     return cloud.agg(F.lit(stats.slice_size(cloud, DAY)).cast("long").alias("slice_size"))
@@ -124,11 +145,14 @@ def scan_bin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The causal neighbours of cloud E, found by a stream that reads the points in x order, a file a batch."""
+    """The causal neighbours of cloud E, found by a stream that reads the points in x order, a file a batch: the sweep's state is dropped behind it."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     cloud = cloud_e(spark, sf)
-    cloud.repartitionByRange(4, "px", "id").sortWithinPartitions("px", "id").write.parquet(f"{base}/points")
-    stream = spark.readStream.schema(cloud.schema).parquet(f"{base}/points")
+    n = cloud.count()
+    ranks = stored(ranking.ranked(cloud, [F.col("px"), F.col("id")], "ord"), "ranks")
+    for k in range(1, STREAM_FILES + 1):  # files are taken in the order of their times
+        ranks.where((F.col("ord") > n * (k - 1) // STREAM_FILES) & (F.col("ord") <= n * k // STREAM_FILES)).drop("ord").write.mode("append").parquet(f"{base}/points")
+    stream = spark.readStream.schema(cloud.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/points")
     low = cloud.agg(F.min("px")).first()[0]
     return rounded(knn.as_knn(sweep.run_sweep(stream, f"sweep-{uuid.uuid4().hex}", K, RADIUS, low)))
 
@@ -178,6 +202,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "estimate_normals": lambda s, d: normals.estimated(cloud_e(s, d), 0.15).select("id", *NORMAL),
     "prepare_streaming": lambda s, d: orient.prepare(cloud_v(s, d)).cloud.select("id", "ord", *XYZ),
     "randomize_normals": lambda s, d: transform.randomized(cloud_v(s, d)).select("id", *NORMAL),
+    "randomize_sizes": lambda s, d: rounded(transform.randomized(cloud_v(s, d)).select("id", *(F.abs(F.col(c)).alias(c) for c in NORMAL), F.signum(F.col("nx") * F.col("nz")).alias("turn"))),
+    "prepare_sorted": lambda s, d: rounded(orient.prepare(cloud_v(s, d), realign=False).cloud.select("id", "ord", *XYZ)),
+    "morton_sorted": lambda s, d: transform.morton_sorted(cloud_v(s, d), F.floor(transform.dbl("px") / DAY), 0.0, 0.0, 2.5).select("id", "slice", "morton"),
+    "mst_first_tree": lambda s, d: rounded(orient.solve(edges_e(s, d), "first tree")),
+    "forest_energies": forest_energies,
+    "edge_stats_resigned": edge_stats_resigned,
+    "orient_accuracy": orient_accuracy,
     "orient_refine": orient_refine,
     "orient_global": lambda s, d: orient.orient_global(cloud_e(s, d), K, RADIUS),
     "orient_stream": lambda s, d: orient.orient_stream(cloud_e(s, d), K, RADIUS),
@@ -290,6 +321,12 @@ ORACLES: dict[str, str] = {
     "mst_unorientable": f"WITH RECURSIVE {KRUSKAL} SELECT count(*) FILTER (turn <> (CASE WHEN weight < 0 THEN -1 ELSE 1 END)) AS unorientable, count(*) AS edges FROM signed",
     "model_energy": f"WITH RECURSIVE {KRUSKAL} SELECT round(sum(-least(weight * turn, 0)), 6) AS energy, count(*) AS edges FROM signed WHERE weight <> 0",
     "apply_orientation": f"WITH RECURSIVE {KRUSKAL} SELECT id, coalesce(component, id) AS component, " + ", ".join(f"round({c} * coalesce(sign, 1), 6) AS {c}" for c in NORMAL) + " FROM e LEFT JOIN solution ON node = id",
+    "randomize_sizes": f"WITH {V} SELECT id, " + ", ".join(f"round(abs({c}), 6) AS {c}" for c in NORMAL) + ", sign(nx * nz)::DOUBLE AS turn FROM v",
+    "prepare_sorted": f"WITH {V} SELECT id, row_number() OVER (ORDER BY px, id) AS ord, {r6(*XYZ)} FROM v",
+    "morton_sorted": f"WITH {V} SELECT id, floor(px / {DAY!r}::DOUBLE)::BIGINT AS slice, {morton_sql('trunc(py / 2.5)', 'trunc(pz / 2.5)')} AS morton FROM v",
+    "mst_first_tree": f"WITH RECURSIVE {KRUSKAL} SELECT node, component, CASE WHEN component = (SELECT min(component) FROM solution) THEN sign ELSE 1 END::BIGINT AS sign FROM solution",
+    "forest_energies": f"WITH RECURSIVE {KRUSKAL} SELECT 'as it came' AS step, round(sum(-least(weight, 0)), 6) AS energy, count(*) AS edges FROM signed WHERE weight <> 0 UNION ALL SELECT 'forest', round(sum(-least(weight * turn, 0)), 6), count(*) FROM signed WHERE weight <> 0",
+    "edge_stats_resigned": f"WITH RECURSIVE {KRUSKAL} SELECT count(*) AS edges, count(*) FILTER (weight * turn < 0) AS negative, count(*) FILTER (weight * turn = 0) AS zero FROM signed WHERE weight <> 0",
     "segment_votes": f"{SEGMENTS}, votes AS (SELECT src, segment, d2, dot * (1 - d2 / {R2}) AS vote FROM near JOIN seg ON id = dst) SELECT src, segment, round(sum(greatest(vote, 0)), 6) AS pos, round(sum(least(vote, 0)), 6) AS neg, round(min(d2), 6) AS min_d2 FROM votes GROUP BY 1, 2",
     "edges_segment": f"{SEGMENTS} SELECT greatest(s.segment, t.segment) AS hi, least(s.segment, t.segment) AS lo, round(sum(dot * (1 - d2 / {R2}) * s.flip * t.flip), 6) AS weight FROM near JOIN seg s ON s.id = src JOIN seg t ON t.id = dst WHERE s.segment <> t.segment GROUP BY 1, 2",
     "compare_normals": f"WITH {E0}, a AS (SELECT *, row_number() OVER (PARTITION BY px, py, pz ORDER BY id) AS nth FROM e0), b AS (SELECT px, py, pz, row_number() OVER (PARTITION BY px, py, pz ORDER BY id) AS nth, " + ", ".join(f"CASE WHEN id % 3 = 0 THEN -{c} ELSE {c} END AS {c}" for c in NORMAL) + f" FROM e0 WHERE id % 10 <> 0) SELECT count(*) FILTER ({DOT} > 0) AS correct, count(*) FILTER (a.nth IS NOT NULL AND b.nth IS NOT NULL AND NOT {DOT} > 0) AS wrong, count(*) FILTER (b.nth IS NULL) AS skipped1, count(*) FILTER (a.nth IS NULL) AS skipped2 FROM a FULL JOIN b ON a.px = b.px AND a.py = b.py AND a.pz = b.pz AND a.nth = b.nth",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Folders of local applications that name none.
 _OWN: dict[str, str] = {}
 #: A key with fewer rows is never hot, and no key of a table with so few rows as fit any task is.
-LEAST_HOT, FEW_ROWS = 256, 20_000
+LEAST_HOT, FEW_ROWS = 256, 8_000
 
 
 def shared_dir(spark: SparkSession) -> str:

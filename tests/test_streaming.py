@@ -32,3 +32,18 @@ def test_orientation_from_a_stream(spark, tmp_path):
     stream = files_in_x_order(spark, cloud, str(tmp_path / "b"), 3)
     got = sweep.orient_from_stream(stream, cloud, f"test-{tmp_path.name}-b", 6, 0.5, -1.0)
     assert all(r.agree in (0, r.n) for r in orient.accuracy(got, truth).collect()) and got.count() == 200
+
+
+def test_late_points_are_dropped(spark, tmp_path):
+    """A point that comes long after its neighbours along x finds none and is found by none; the others are as without it."""
+    p, n = sphere(200)
+    cloud = frame(spark, p, n)
+    folder = str(tmp_path / "c")
+    late = cloud.where("px < -0.9").limit(1).select(F.lit(9999).cast("long").alias("id"), *cloud.columns[1:])
+    for k in range(4):
+        part = cloud.where((F.col("px") >= -1 + k / 2) & ((F.col("px") < -0.5 + k / 2) | F.lit(k == 3)))
+        (part.union(late) if k == 3 else part).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(cloud.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = knn.as_knn(sweep.run_sweep(stream, f"test-{tmp_path.name}-c", 6, 0.3, -1.0)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, knn.knn_causal(cloud, 6, 0.3).collect()))
