@@ -26,10 +26,10 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen["n"]:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = looked_up(both, least, "a", 2 * seen["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = looked_up(large, least, "a", seen["n"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = looked_up(both, least, "a", 2 * seen["n"], count="n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = looked_up(large, least, "a", seen["n"], count="n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges, now = stored_with(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges", **size)
         if now == seen:
             break

@@ -41,19 +41,23 @@ def stored_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame
     return out, seen.get
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", count: str | None = None) -> DataFrame:
     """rows joined with table on the column key, which is unique in table; total: about the number of rows.
 
     Keys with many rows (a quarter of a task's share; so there are at most four times as many as tasks) meet their table rows
-    by broadcast and are not dealt by key; the others are joined by a shuffle. Null keys find nothing. how: inner or left.
+    by broadcast and are not dealt by key; the others are joined by a shuffle. Null keys find nothing. how: inner or left. count: table's column with each key's number of rows, if
+    it has one; else they are counted.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = max(LEAST_HOT, total // (4 * tasks))
     if total <= FEW_ROWS:
         return rows.join(table, key, how)
-    hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > most).select(key)
     other = [c for c in table.columns if c != key]
-    few = F.broadcast(hot.join(table, key, how).select(F.col(key), F.lit(True).alias("_hot"), *other))
+    if count:
+        hot = table.where((F.col(count) > most) & F.col(key).isNotNull())
+    else:
+        hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > most).select(key).join(table, key, how)
+    few = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot"), *other))
     met = rows.join(few, key, "left")
     there = met.where("_hot").select(*rows.columns, *other)
     rest = met.where(F.col("_hot").isNull()).select(rows.columns)
