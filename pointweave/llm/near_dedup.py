@@ -216,16 +216,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, rows: int = 5, bands: in
     heads, of_heads = stored_with(classes, "classes", n=F.count("*"))
     first = heads.select("set_hash", F.col("head").alias("doc_id"))
     keys = drawn.select("set_hash", "doc_id", "bands").join(first, ["set_hash", "doc_id"], "left_semi").select("set_hash", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("set_hash").alias("pivot"), F.max("set_hash").alias("last")).where("pivot != last").select("band", "pivot")
-    near = looked_up(keys, shared, "band", bands * of_heads["n"]).where("set_hash != pivot").select(F.col("set_hash").alias("a"), F.col("pivot").alias("b"))
+    shared = keys.groupBy("band").agg(F.min("set_hash").alias("pivot"), F.max("set_hash").alias("last"), F.count("*").alias("n")).where("pivot != last").select("band", "pivot", "n")
+    near = looked_up(keys, shared, "band", bands * of_heads["n"], count="n").where("set_hash != pivot").select(F.col("set_hash").alias("a"), F.col("pivot").alias("b"))
     groups = components(near).withColumnRenamed("node", "set_hash").withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    grouped = looked_up(groups, sizes, "group", of_heads["n"]).join(heads, "set_hash")
+    grouped = looked_up(groups, sizes, "group", of_heads["n"], count="n").join(heads, "set_hash")
     found = confirmed(stored(grouped, "groups"), docs, percent, hashes, words, slack)
     tied = heads.join(components(found).withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", "head", F.coalesce("component", "set_hash").alias("part"))
     tied = stored(tied, "tied")
-    least = tied.groupBy("part").agg(F.min("head").alias("component"))
-    named = stored(looked_up(tied, least, "part", of_heads["n"]).select("set_hash", "component"), "named")
+    least = tied.groupBy("part").agg(F.min("head").alias("component"), F.count("*").alias("n"))
+    named = stored(looked_up(tied, least, "part", of_heads["n"], count="n").select("set_hash", "component"), "named")
     own = drawn.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
     known = looked_up(own, named, "set_hash", seen["n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
