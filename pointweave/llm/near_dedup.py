@@ -215,12 +215,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, rows: int = 5, bands: in
     classes = drawn.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("head"))
     heads, of_heads = stored_with(classes, "classes", n=F.count("*"))
     first = heads.select("set_hash", F.col("head").alias("doc_id"))
-    keys = drawn.select("set_hash", "doc_id", "bands").join(first, ["set_hash", "doc_id"], "left_semi").select("set_hash", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("set_hash").alias("pivot"), F.max("set_hash").alias("last"), F.count("*").alias("n")).where("pivot != last").select("band", "pivot", "n")
-    near = looked_up(keys, shared, "band", bands * of_heads["n"], count="n").where("set_hash != pivot").select(F.col("set_hash").alias("a"), F.col("pivot").alias("b"))
-    groups = components(near).withColumnRenamed("node", "set_hash").withColumnRenamed("component", "group")
+    # candidates go by 64 bits of their set hash: classes that share them are candidates together, which the full sets then settle
+    short = F.xxhash64("set_hash").alias("short")
+    keys = drawn.select("set_hash", "doc_id", "bands").join(first, ["set_hash", "doc_id"], "left_semi").select(short, F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.min("short").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    near = looked_up(keys, shared, "band", bands * of_heads["n"], count="n").where("short != pivot").select(F.col("short").alias("a"), F.col("pivot").alias("b"))
+    groups = components(near).withColumnRenamed("node", "short").withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    grouped = looked_up(groups, sizes, "group", of_heads["n"], count="n").join(heads, "set_hash")
+    grouped = looked_up(groups, sizes, "group", of_heads["n"], count="n").join(heads.select("set_hash", "head", short), "short").drop("short")
     found = confirmed(stored(grouped, "groups"), docs, percent, hashes, words, slack)
     tied = heads.join(components(found).withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", "head", F.coalesce("component", "set_hash").alias("part"))
     tied = stored(tied, "tied")
