@@ -19,6 +19,8 @@ from pointweave.operators.components import connected as components
 WORDS = 5
 #: Rows a block has at most in mean; a task compares two blocks at a time.
 BLOCK = 192
+#: Candidates whose ids are broadcast to pick their texts before these are shuffled (8 bytes each); with more, all texts are shuffled.
+MOST_PICKED = 4_000_000
 #: Word hashes a worker keeps; then it starts anew.
 CACHE = 400_000
 _UPPER = bytes(range(65, 91))
@@ -158,12 +160,14 @@ def links(sets: list[np.ndarray], signatures: np.ndarray, left: np.ndarray, perc
     return found
 
 
-def confirmed(groups: DataFrame, docs: DataFrame, percent: int, hashes: int, words: int, slack: float) -> DataFrame:
-    """Links (a, b: set hashes) inside candidate groups (columns set_hash, head: the document that stands for it, group, n: its number of classes), enough for the components."""
+def confirmed(groups: DataFrame, classes: int, docs: DataFrame, percent: int, hashes: int, words: int, slack: float) -> DataFrame:
+    """Links (a, b: set hashes) inside candidate groups (columns set_hash, head: the document that stands for it, group, n: its number of classes), enough for the components. classes: the number of rows of groups."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("set_hash"), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     texts = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("binary").alias("text"))
+    if classes <= MOST_PICKED:
+        texts = texts.join(F.broadcast(groups.select("head").distinct()), "head", "left_semi")
     members = groups.withColumn("block", block).join(texts, "head").withColumn("pair", F.explode(pair))
     dealt = members.select("group", "pair.i", "pair.j", (F.col("block") == F.col("pair.i")).alias("left"), "set_hash", "text")
 
@@ -223,7 +227,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, rows: int = 5, bands: in
     groups = components(near).withColumnRenamed("node", "short").withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
     grouped = looked_up(groups, sizes, "group", of_heads["n"], count="n").join(heads.select("set_hash", "head", short), "short").drop("short")
-    found = confirmed(stored(grouped, "groups"), docs, percent, hashes, words, slack)
+    grouped, in_groups = stored_with(grouped, "groups", n=F.count("*"))
+    found = confirmed(grouped, in_groups["n"], docs, percent, hashes, words, slack)
     tied = heads.join(components(found).withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", "head", F.coalesce("component", "set_hash").alias("part"))
     tied = stored(tied, "tied")
     least = tied.groupBy("part").agg(F.min("head").alias("component"), F.count("*").alias("n"))
