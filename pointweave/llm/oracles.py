@@ -46,3 +46,13 @@ sure AS (SELECT s, c FROM mined, base WHERE (c + 1.6449 * 1.6449 / n / 2 - sqrt(
 found AS (SELECT tokens, max(c) AS confidence FROM (SELECT DISTINCT tokens FROM k) JOIN sure ON list_has_all(tokens, s) GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN confidence IS NULL THEN 'allow' ELSE 'block' END) AS verdict, confidence
 FROM k LEFT JOIN found USING (tokens) LEFT JOIN named USING (page_id, url)"""
+
+
+def hard_negatives(scale: int, positives: int, negatives: int, low: int, high: int) -> str:
+    """All products of anchors and rows; ranks by windows."""
+    return f"""WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({scale}::DOUBLE * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= {positives})
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND {low} * p.score <= 100 * n.score AND 100 * n.score <= {high} * p.score QUALIFY rank <= {negatives}"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import fingerprints, html_extract, language_id, lm_scoring, near_dedup, oracles, packing, piece_codec, quality_classifier, quality_rules, url_filters
+from pointweave.llm import fingerprints, hard_negatives, html_extract, language_id, lm_scoring, near_dedup, oracles, packing, piece_codec, quality_classifier, quality_rules, url_filters
 
 
 #: The listed rules of op2.
@@ -60,6 +60,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filters": op2_url_filters,
@@ -71,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": oracles.url_filters(URL_RULES, 0.002, 8, 0.6),
     "op9_near_dedup": oracles.near_dedup(85),
+    "op11_hard_negatives": oracles.hard_negatives(256, 5, 3, 50, 95),
 }
