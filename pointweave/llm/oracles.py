@@ -56,3 +56,22 @@ s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner
 p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= {positives})
 SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
 FROM p JOIN s n ON n.a = p.a AND NOT n.same AND {low} * p.score <= 100 * n.score AND 100 * n.score <= {high} * p.score QUALIFY rank <= {negatives}"""
+
+
+def source_divergence(least_docs: int, most_terms: int) -> str:
+    """Counts of all kept terms in all groups, and their differences for all pairs."""
+    share = "1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * terms)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{CAPITALS.lower()}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+t AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= {least_docs}),
+v AS (SELECT lang, count(*) AS terms, sum(total) AS lang_total FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(source_total, 0) AS source_total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS source_total FROM c GROUP BY 1, 2) USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, {share.format(n='coalesce(n, 0)', total='source_total')} AS p, {share.format(n='total', total='lang_total')} AS q
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts QUALIFY part = 'pair' OR rank <= {most_terms}"""

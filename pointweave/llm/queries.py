@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import fingerprints, hard_negatives, html_extract, language_id, lm_scoring, near_dedup, oracles, packing, piece_codec, quality_classifier, quality_rules, url_filters
+from pointweave.llm import fingerprints, hard_negatives, html_extract, language_id, lm_scoring, near_dedup, oracles, packing, piece_codec, quality_classifier, quality_rules, simhash, source_divergence, url_filters
 
 
 #: The listed rules of op2.
@@ -65,6 +65,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filters": op2_url_filters,
@@ -77,10 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": oracles.url_filters(URL_RULES, 0.002, 8, 0.6),
     "op9_near_dedup": oracles.near_dedup(85),
     "op11_hard_negatives": oracles.hard_negatives(256, 5, 3, 50, 95),
+    "op12_source_divergence": oracles.source_divergence(30, 50),
 }
