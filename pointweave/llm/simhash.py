@@ -17,8 +17,8 @@ from pointweave.operators.components import connected
 
 #: Words of a shingle, the hash's seed, bits of a fingerprint.
 WORDS, SEED, BITS = 4, 42, 64
-#: Fingerprints that a task compares with each other at most; where more share a key's bits, further bits are added to the key.
-MOST = 2_048
+#: Fingerprints of a block in mean; a task compares two blocks at a time. Where more share a key's bits, further bits are added to the key, so many levels of them in all.
+MOST, LEVELS = 2_048, 2
 #: Words of 64 fingerprints that are compared at a time.
 BLOCKS = 40_000
 #: After so many planes those words are given up in which all distances exceed the radius.
@@ -76,30 +76,33 @@ def exceed(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
     return more
 
 
-def near_pairs(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of one group that differ in at most radius bits. starts: where each group begins; groups stand one after the other."""
+def near_pairs(fps: np.ndarray, starts: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that differ in at most radius bits: of one from run left[k] with one from run right[k], for every k; of two from a run
+    where both are the same. starts: where each run of fps begins."""
     sizes = np.diff(np.append(starts, len(fps)))
-    words = -(-sizes // 64)
-    group = np.repeat(np.arange(len(starts)), sizes)
-    place = np.arange(len(fps)) - starts[group]
-    first = (np.cumsum(words) - words)[group]
-    slot = first * 64 + place
-    lanes = np.zeros((BITS, int(words.sum()) * 64), dtype=np.uint8)
-    bits = bits_of(fps)
-    lanes[:, slot] = bits.T
+    words = -(-sizes // 64)  # each run begins a word
+    first = np.cumsum(words) - words
+    run = np.repeat(np.arange(len(starts)), sizes)
+    slot = first[run] * 64 + np.arange(len(fps)) - starts[run]
+    at = np.full(int(words.sum()) * 64, -1)
+    at[slot] = np.arange(len(fps))
+    bits = bits_of(fps).T
+    lanes = np.zeros((BITS, len(at)), dtype=np.uint8)
+    lanes[:, slot] = bits
     planes = np.packbits(lanes, axis=1, bitorder="little").view(np.uint64)
-    turn = np.where(bits.T == 1, ALL, np.uint64(0))
-    filled = np.zeros(lanes.shape[1], dtype=np.uint8)
-    filled[slot] = 1
-    filled = np.packbits(filled, bitorder="little").view(np.uint64)
-    # each fingerprint meets its own word of lanes and those after it; of its own only the later lanes
-    own = first + place // 64
-    count = words[group] - place // 64
-    ask = np.repeat(np.arange(len(fps)), count)
-    word = np.arange(len(ask)) - np.repeat(np.cumsum(count) - count, count) + own[ask]
+    filled = np.packbits(at >= 0, bitorder="little").view(np.uint64)
+    turn = np.where(bits == 1, ALL, np.uint64(0))
+    # each fingerprint of a left run meets the words of the right one; in the same run its own word and those after it, and of its own only later lanes
+    meet = np.repeat(np.arange(len(left)), sizes[left])
+    place = np.arange(len(meet)) - np.repeat(np.cumsum(sizes[left]) - sizes[left], sizes[left])
+    own = np.where(left == right, 1, 0)[meet]
+    count = words[right[meet]] - own * (place // 64)
+    asks = starts[left[meet]] + place
+    ask = np.repeat(asks, count)
+    word = np.arange(len(ask)) - np.repeat(np.cumsum(count) - count - first[right[meet]] - own * (place // 64), count)
     wanted = filled[word]
     later = ~((np.uint64(2) << (place % 64).astype(np.uint64)) - np.uint64(1))
-    wanted &= np.where(word == own[ask], later[ask], ALL)
+    wanted &= np.where(word == slot[ask] // 64, np.repeat(later, count), ALL)
     counters, over = [np.zeros(len(ask), dtype=np.uint64) for _ in range(3)], np.zeros(len(ask), dtype=np.uint64)
     for k in range(0, BITS, 2):
         x, y = planes[k][word] ^ turn[k][ask], planes[k + 1][word] ^ turn[k + 1][ask]
@@ -116,8 +119,6 @@ def near_pairs(fps: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.nda
                 ask, word, wanted, over = ask[live], word[live], wanted[live], over[live]
                 counters = [c[live] for c in counters]
     block, lane = np.nonzero(np.unpackbits(wanted.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    at = np.zeros(lanes.shape[1], dtype=np.int64)
-    at[slot] = np.arange(len(fps))
     return ask[block], at[word[block] * 64 + lane]
 
 
@@ -136,49 +137,62 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compared(groups: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b), enough for the components, between the fingerprints fp of groups that share mask and value."""
+    """Links (a, b), enough for the components, between the fingerprints fp of groups that share mask and value; n: how many these are.
+
+    A group of over MOST is dealt in blocks: a task compares two of them, or one with itself."""
+    blocks = F.ceil(F.col("n") / MOST)
+    block = F.pmod(F.xxhash64("fp"), blocks)
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = groups.withColumn("block", block).withColumn("pair", F.explode(pair)).select("mask", "value", "pair.i", "pair.j", (F.col("block") != F.col("pair.i")).cast("long").alias("side"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        blocks = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal blocks
-            if held:
-                fps = np.concatenate(held).view(np.uint64)
-                starts = np.cumsum([0, *map(len, held[:-1])])
-                label = least_reached(len(fps), *near_pairs(fps, starts, radius))
-                moved = np.flatnonzero(label != np.arange(len(fps)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(fps[moved].view(np.int64)), pa.array(fps[label[moved]].view(np.int64))], ["a", "b"])
+        held: list[list[np.ndarray]] = []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            runs = [r for meet in held for r in meet]
+            fps = np.concatenate(runs).view(np.uint64)
+            ends = np.cumsum([len(meet) for meet in held])
+            pairs = near_pairs(fps, np.cumsum([0, *map(len, runs[:-1])]), ends - [len(meet) for meet in held], ends - 1, radius)
+            label = least_reached(len(fps), *pairs)
+            moved = np.flatnonzero(label != np.arange(len(fps)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(fps[moved].view(np.int64)), pa.array(fps[label[moved]].view(np.int64))], ["a", "b"])
             held.clear()
-            blocks = 0
-
-        def whole() -> Iterator[np.ndarray]:
-            """A group's fingerprints."""
-            key, parts = None, []
-            for batch in batches:
-                mask, value, fp = (c.to_numpy() for c in batch.columns)
-                cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(fp)], strict=True):
-                    if hi > lo:
-                        if key != (mask[lo], value[lo]) and parts:
-                            yield np.concatenate(parts)
-                            parts = []
-                        key = mask[lo], value[lo]
-                        parts.append(fp[lo:hi])
-            if parts:
-                yield np.concatenate(parts)
-
-        for group in whole():
-            words = -(-len(group) // 64)
-            held.append(group)
-            blocks += len(group) * (words + 1) // 2 + 1
-            if blocks >= BLOCKS:
-                yield from close()
-        yield from close()
-
-    return groups.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long")
+
+        size = 0
+        for meet in meets(batches):
+            held.append(meet)
+            size += len(meet[0]) * -(-len(meet[-1]) // 64)
+            if size >= BLOCKS:
+                yield from closed()
+                size = 0
+        if held:
+            yield from closed()
+
+    keys = ["mask", "value", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "a long, b long")
+
+
+def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The fingerprints of each key (all columns but the last two), by side; a key with a block that meets none has no row."""
+    key, sides = None, ([], [])
+
+    def whole() -> list[np.ndarray]:
+        return [np.concatenate(s) for s in sides if s]
+
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if hi > lo:
+                now = tuple(c[lo] for c in columns[:-2])
+                if now != key:
+                    if key is not None and (key[-2] == key[-1] or all(sides)):
+                        yield whole()
+                    key, sides = now, ([], [])
+                sides[columns[-2][lo]].append(columns[-1][lo:hi])
+    if key is not None and (key[-2] == key[-1] or all(sides)):
+        yield whole()
 
 
 def parted(mask: int, parts: int) -> list[int]:
@@ -200,22 +214,25 @@ def masks(spark: SparkSession, known: list[int], radius: int) -> DataFrame:
 def links(classes: DataFrame, n: int, radius: int) -> DataFrame:
     """Links (a, b) between n different fingerprints fp, enough for the components.
 
-    Bits are parted into radius + 1 parts, on one of which near fingerprints agree; those who share a part are compared. Where
-    over MOST do, the other bits are parted again, until no more do, so that no group is large and no pair lost.
+    Bits are parted into radius + 1 parts, on one of which near fingerprints agree; those who share a part are compared. Where over MOST do, the
+    other bits are parted once more (LEVELS); groups that are still larger are compared block by block. No pair is lost.
     """
     spark = classes.sparkSession
     rows, known, total, out = classes.select("fp", F.lit(0).cast("long").alias("mask")), [0], n, None
-    while known:
+    for level in range(LEVELS):
         finer = F.broadcast(masks(spark, known, radius))  # radius + 1 rows for each
         keys = rows.join(finer, "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value"))
         keys = stored(keys.withColumn("key", F.struct("mask", "value")), "keys")
         sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         shared = looked_up(keys, sizes, "key", total * (radius + 1), count="n").drop("key")
         shared, seen = stored_with(shared, "shared", hot=F.count_if(F.col("n") > MOST))
-        found = compared(shared.where(F.col("n") <= MOST), radius)
+        last = level == LEVELS - 1
+        found = compared(shared if last else shared.where(F.col("n") <= MOST), radius)
         out = found if out is None else out.union(found)
         rows, total = shared.where(F.col("n") > MOST).select("fp", "mask"), seen["hot"]
-        known = [r.mask for r in rows.select("mask").distinct().collect()] if total else []  # at most (radius + 1) times as many as before
+        if last or not total:
+            break
+        known = [r.mask for r in rows.select("mask").distinct().collect()]  # at most radius + 1 times as many as before
     return out
 
 

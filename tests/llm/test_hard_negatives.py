@@ -1,0 +1,92 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pointweave.llm import hard_negatives as hn
+
+
+def brute(rows, anchor, positives=5, negatives=3, low=50, high=95):
+    """From the rule, with Python's integers. rows: distinct (vec_id, label, vector) that take part."""
+    own = [(i, y, [math.floor(256 * float(x)) for x in v]) for i, y, v in rows]
+    score = lambda a, b: sum(x * y for x, y in zip(a[2], b[2], strict=False))
+    best = lambda a, some, k: sorted(((-score(a, b), b[0]) for b in some))[:k]
+    out = []
+    for a in own:
+        if anchor(a[0]):
+            for p, positive in best(a, [b for b in own if b[1] == a[1] and b[0] != a[0]], positives):
+                window = [b for b in own if b[1] != a[1] and low * -p <= 100 * score(a, b) <= high * -p]
+                out += [(a[0], positive, k + 1, n, -p, -s) for k, (s, n) in enumerate(best(a, window, negatives))]
+    return sorted(out)
+
+
+def mined(spark, rows, anchor="vec_id % 5 = 0", **options):
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>, row long, n string")
+    return sorted(map(tuple, hn.mine(table, F.col("label"), F.expr(anchor), **options).collect()))
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 1), (8, 8, 8), (9, 17, 33), (64, 64, 64), (100, 64, 37), (31, 3, 65)])
+def test_strassen(shape):
+    m, k, n = shape
+    rng = np.random.default_rng(m * n)
+    for size in (3, 300, 2**29):
+        a, b = rng.integers(-size, size, (m, k)), rng.integers(-size, size, (k, n))
+        assert (hn.strassen(a, b) == a @ b).all()
+
+
+def test_descending_with_ties_and_wide_scores():
+    rng = np.random.default_rng(1)
+    for size in (3, 2**40, 2**61):
+        s = rng.integers(-size, size, (20, 50))
+        s[rng.random(s.shape) < 0.2] = hn.NONE
+        best, place = hn.descending(s)
+        for row, b, p in zip(s, best, place, strict=True):
+            want = sorted(range(50), key=lambda k: (-int(row[k]), k))
+            real = [k for k in want if row[k] != hn.NONE]
+            assert b.tolist() == [int(row[k]) for k in want] and p.tolist()[: len(real)] == real
+
+
+def test_heaps_merge():
+    rng = np.random.default_rng(2)
+    heaps, seen = hn.Heaps(4, 5), [[] for _ in range(4)]
+    for _ in range(6):
+        s, ids = rng.integers(0, 9, (4, 7)), rng.integers(0, 1000, (4, 7))
+        heaps.merge(slice(0, 4), s, ids)
+        for k in range(4):
+            seen[k] += zip((-s[k]).tolist(), ids[k].tolist(), strict=True)
+    assert [[(-a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in zip(heaps.score, heaps.id, strict=True)] == [sorted(x)[:5] for x in seen]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_against_brute_force(spark, monkeypatch, small):
+    """Vectors of few values, so that scores tie, with many copies; small: blocks, stripes and tiles of a few rows."""
+    if small:
+        for name, size in (("BLOCK", 20), ("STRIPE", 40), ("TILE", 16)):
+            monkeypatch.setattr(hn, name, size)
+    rng = random.Random(4)
+    common = [0.5, 0.25, 0.5, 0.75]
+    rows = [(k * 3 - 60, rng.randrange(4), common if k % 3 == 0 else [rng.randrange(-2, 6) / 4 for _ in range(4)], 1, "x") for k in range(150)]
+    want = brute([r[:3] for r in rows], lambda i: i % 5 == 0)
+    assert want and mined(spark, rows) == want
+
+
+def test_odd_rows(spark):
+    inf, nan = float("inf"), float("nan")
+    good = [(0, 1, [0.5, 0.5]), (1, 1, [0.5, 0.75]), (2, 2, [0.5, 0.25]), (3, 2, []), (4, 1, [1.0]), (5, 1, [0.5, 0.25, 0.125]), (6, 3, [0.25, 0.5, -0.5, 0.1])]
+    bad = [(None, 1, [0.5, 0.5]), (7, None, [0.5, 0.5]), (8, 1, None), (9, 1, [0.5, None]), (10, 1, [nan, 0.5]), (11, 1, [inf, 0.5]), (12, 2, [-inf]), (13, 2, [3e38, 3e38])]
+    every = [(*r, None, None) for r in good + bad + good[:3]]  # identical rows count once
+    want = brute(good, lambda i: True)
+    assert want and mined(spark, every, "true") == want
+    assert mined(spark, [], "true") == [] and mined(spark, every, "false") == [] and mined(spark, every[7:15], "true") == []
+    twice = [(0, 1, [1.0, 0.0]), (0, 1, [0.5, 0.0]), (1, 1, [1.0, 1.0]), (2, 2, [0.75, 0.0])]  # an id with two vectors
+    assert mined(spark, [(*r, None, None) for r in twice], "true") == brute(twice, lambda i: True)
+
+
+def test_large_components_and_long_vectors(spark):
+    rng = random.Random(7)
+    rows = [(k, k % 2, [rng.uniform(-2e5, 1e6) for _ in range(16)], 1, "x") for k in range(40)]
+    rows += [(100 + k, k % 2, [rng.uniform(0, 1) for _ in range(3000)], 1, "x") for k in range(6)]
+    exact = [(i, y, [float(np.float32(x)) for x in v]) for i, y, v, *_ in rows]
+    assert mined(spark, rows) == brute(exact, lambda i: i % 5 == 0)
