@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.criteria import squared_distance
 from pointweave.operators.knn import CARRIED, cell, check, nearest, usable
+from pointweave.operators.segment import SLAB_POINTS
 from pointweave.operators.transform import normalized
 from pointweave.plans.orient import from_segments
 from pointweave.schema import XYZ
@@ -52,7 +53,7 @@ def run_sweep(stream: DataFrame, name: str, k: int, radius: float, x_min: float)
     return nearest(stream.sparkSession.read.schema(pairs.schema).parquet(f"{base}/pairs"), k)
 
 
-def orient_from_stream(stream: DataFrame, cloud: DataFrame, name: str, k: int, radius: float, x_min: float, criterion: str = "hoppe", theta_s: float = 0.0, theta_acc: float = 0.5, min_extent: float | None = None, solver: str = "refined", slab_points: int = 20_000) -> DataFrame:
+def orient_from_stream(stream: DataFrame, cloud: DataFrame, name: str, k: int, radius: float, x_min: float, criterion: str = "hoppe", theta_s: float = 0.0, theta_acc: float = 0.5, min_extent: float | None = None, solver: str = "refined", slab_points: int = SLAB_POINTS) -> DataFrame:
     """The sweep's second half over the stream's neighbours; cloud: the same points as a table, normals of length 1."""
     near = run_sweep(stream, name, k, radius, x_min)
     return from_segments(normalized(cloud), near, k, radius, criterion, theta_s, theta_acc, min_extent, solver, slab_points)
