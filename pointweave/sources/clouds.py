@@ -11,7 +11,7 @@ import pyarrow.fs as fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from pointweave.operators.ranking import ranked
@@ -21,6 +21,8 @@ RECORD = np.dtype([("p", "<f4", 3), ("n", "<f4", 3), ("c", "u1", 3), ("pad", "u1
 SEGMENT_RECORD = np.dtype([*RECORD.descr, ("segment", "<i4")])
 #: Records that a task reads, and that it decodes at once.
 RECORDS_PER_TASK, RECORDS_PER_BATCH = 4_000_000, 100_000
+#: Fixed value: records that a stream takes at a time.
+RECORDS_PER_TRIGGER = 4_096
 #: The columns of a PLY or XYZ row, in order.
 ROW = [*XYZ, *NORMAL, *COLOR]
 
@@ -84,19 +86,25 @@ class RecordSource(DataSource):
     def schema(self) -> str:
         return POINT + (", segment int" if self.options.get("segments") == "true" else "")
 
+    def made(self, kind: type) -> RecordReader:
+        return kind(self.options["path"], self.options.get("segments") == "true", int(self.options.get("recordsPerTask", RECORDS_PER_TASK)), int(self.options.get("recordsPerBatch", RECORDS_PER_TRIGGER)))
+
     def reader(self, schema: StructType) -> DataSourceReader:
-        return RecordReader(self.options["path"], self.options.get("segments") == "true", int(self.options.get("recordsPerTask", RECORDS_PER_TASK)))
+        return self.made(RecordReader)
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return self.made(RecordStream)
 
 
 class RecordReader(DataSourceReader):
-    def __init__(self, path: str, segments: bool, most: int):
-        self.path, self.segments, self.most = path, segments, most
+    def __init__(self, path: str, segments: bool, most: int, per_batch: int):
+        self.path, self.segments, self.most, self.per_batch = path, segments, most, per_batch
 
     def files(self) -> fs.FileSystem:
         return fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
 
-    def partitions(self) -> list[Records]:
-        """Equal ranges of whole records, file by file in order of their names; a file's last bytes short of a record are none."""
+    def sizes(self) -> list[tuple[str, int]]:
+        """Files in order of their names, and their numbers of whole records; a file's last bytes short of a record are none."""
         size = (SEGMENT_RECORD if self.segments else RECORD).itemsize
         place = fs.FileSystem.from_uri(self.path)[1] if "://" in self.path else self.path
         found = self.files().get_file_info(place)
@@ -107,13 +115,20 @@ class RecordReader(DataSourceReader):
             every = sorted((f for f in every if f.type == fs.FileType.File and f.base_name[0] not in "._"), key=lambda f: f.path)
         else:
             every = [found]
-        out, first = [], 0
-        for file in every:
-            n = file.size // size
-            out += [Records(file.path, k * size, min(self.most, n - k), first + k) for k in range(0, n, self.most)]
+        return [(file.path, file.size // size) for file in every]
+
+    def ranges(self, start: int, end: int | None = None) -> list[Records]:
+        """Ranges of whole records, file by file, of the records from start to end in the order of files."""
+        size, out, first = (SEGMENT_RECORD if self.segments else RECORD).itemsize, [], 0
+        for path, n in self.sizes():
+            lo, hi = max(start - first, 0), n if end is None else min(end - first, n)
+            out += [Records(path, k * size, min(self.most, hi - k), first + k) for k in range(lo, hi, self.most)]
             first += n
         return out
 
+    def partitions(self) -> list[Records]:
+        return self.ranges(0)
+
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
         kind = SEGMENT_RECORD if self.segments else RECORD
         with self.files().open_input_file(partition.path) as file:
@@ -128,6 +143,33 @@ class RecordReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(out, names)
 
 
+class RecordStream(RecordReader, DataSourceStreamReader):
+    """Records as a stream: an offset is how many records have been read, and a batch takes recordsPerBatch more at most. Files may be added under names that come after the others'."""
+
+    at: int | None = None
+
+    def initialOffset(self) -> dict:
+        return {"records": 0}
+
+    def latestOffset(self) -> dict:
+        # after a restart Spark plans or commits the last batch before it asks for more
+        self.at = min((self.at or 0) + self.per_batch, max(self.at or 0, sum(n for _, n in self.sizes())))
+        return {"records": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[Records]:
+        self.at = max(self.at or 0, end["records"])
+        return self.ranges(start["records"], end["records"])
+
+    def commit(self, end: dict) -> None:
+        self.at = max(self.at or 0, end["records"])
+
+
+def read_bin_stream(spark: SparkSession, path: str, records_per_batch: int = 4096, segments: bool = False) -> DataFrame:
+    """As read_bin, as a stream that takes so many records a batch, in order of files and records."""
+    spark.dataSource.register(RecordSource)
+    return spark.readStream.format(RecordSource.name()).option("path", path).option("segments", str(segments).lower()).option("recordsPerBatch", records_per_batch).load()
+
+
 def read_bin(spark: SparkSession, path: str, segments: bool = False) -> DataFrame:
     """A cloud from fixed-length little-endian records: 6 floats, 3 colour bytes, a byte of padding (and an int segment). Ids count the records.
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.criteria import squared_distance
 from pointweave.operators.knn import CARRIED, cell, check, nearest, usable
-from pointweave.operators.segment import SLAB_POINTS
-from pointweave.operators.transform import normalized
-from pointweave.plans.orient import from_segments
 from pointweave.schema import XYZ
 from pointweave.shared import shared_dir
 
@@ -19,10 +18,15 @@ TICKS = 1_000_000
 START = 86_400_000_000
 
 
+def ticks(x: float, radius: float, x_min: float) -> int:
+    """Event-time microseconds from the least x to x."""
+    return math.floor((x - x_min) / radius * TICKS)
+
+
 def timed(points: DataFrame, radius: float, x_min: float, side: str) -> DataFrame:
     """A side of the join: columns named after the side, y-z cell, and the event time that stands for x."""
-    ticks = F.floor((F.col("px").cast("double") - F.lit(float(x_min))) / F.lit(float(radius)) * F.lit(TICKS)).cast("long")
-    own = points.withColumn("time", F.timestamp_micros(ticks + F.lit(START))).withWatermark("time", "1 second")
+    after = F.floor((F.col("px").cast("double") - F.lit(float(x_min))) / F.lit(float(radius)) * F.lit(TICKS)).cast("long")
+    own = points.withColumn("time", F.timestamp_micros(after + F.lit(START))).withWatermark("time", "1 second")
     return own.select(*(F.col(c).alias(f"{side}_{c}") for c in CARRIED if c in points.columns), F.col("time").alias(f"{side}_time"), *(cell(a, radius).alias(f"{side}_{a}_cell") for a in XYZ[1:]))
 
 
@@ -51,9 +55,3 @@ def run_sweep(stream: DataFrame, name: str, k: int, radius: float, x_min: float)
     query = pairs.writeStream.format("parquet").outputMode("append").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return nearest(stream.sparkSession.read.schema(pairs.schema).parquet(f"{base}/pairs"), k)
-
-
-def orient_from_stream(stream: DataFrame, cloud: DataFrame, name: str, k: int, radius: float, x_min: float, criterion: str = "hoppe", theta_s: float = 0.0, theta_acc: float = 0.5, min_extent: float | None = None, solver: str = "refined", slab_points: int = SLAB_POINTS) -> DataFrame:
-    """The sweep's second half over the stream's neighbours; cloud: the same points as a table, normals of length 1."""
-    near = run_sweep(stream, name, k, radius, x_min)
-    return from_segments(normalized(cloud), near, k, radius, criterion, theta_s, theta_acc, min_extent, solver, slab_points)
