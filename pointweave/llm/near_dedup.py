@@ -19,8 +19,9 @@ from pointweave.operators.components import connected as components
 WORDS = 5
 #: Rows a block has at most in mean; a task compares two blocks at a time.
 BLOCK = 192
-#: Candidates whose ids are broadcast to pick their texts before these are shuffled (8 bytes each); with more, all texts are shuffled.
-MOST_PICKED = 4_000_000
+#: Bits of the filter that picks candidates' texts before they are shuffled: broadcast as at most so many / 64 rows of two longs (16 MB), whatever the input.
+#: The fuller it is the more other texts pass; the join behind it is exact.
+FILTER_BITS = 2**26
 #: Word hashes a worker keeps; then it starts anew.
 CACHE = 400_000
 _UPPER = bytes(range(65, 91))
@@ -160,15 +161,24 @@ def links(sets: list[np.ndarray], signatures: np.ndarray, left: np.ndarray, perc
     return found
 
 
-def confirmed(groups: DataFrame, classes: int, docs: DataFrame, percent: int, hashes: int, words: int, slack: float) -> DataFrame:
-    """Links (a, b: set hashes) inside candidate groups (columns set_hash, head: the document that stands for it, group, n: its number of classes), enough for the components. classes: the number of rows of groups."""
+def picked(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """head and text of the documents of groups, and of others whose ids fall on the same bits; each different text of an id once."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at(c), F.lit(64)).cast("int"))
+    word = lambda c: F.floor(at(c) / 64).alias("word")
+    marked = groups.select(word("head"), bit("head").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("binary").alias("text"))
+    there = texts.withColumn("word", word("head")).join(F.broadcast(marked), "word").where(F.col("bits").bitwiseAND(bit("head")) != 0)
+    return there.select("head", "text").distinct()  # a document's repeated rows are a row a task
+
+
+def confirmed(groups: DataFrame, docs: DataFrame, percent: int, hashes: int, words: int, slack: float) -> DataFrame:
+    """Links (a, b: set hashes) inside candidate groups (columns set_hash, head: the document that stands for it, group, n: its number of classes), enough for the components."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("set_hash"), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("head"), F.col("text").cast("binary").alias("text"))
-    if classes <= MOST_PICKED:
-        texts = texts.join(F.broadcast(groups.select("head").distinct()), "head", "left_semi")
-    members = groups.withColumn("block", block).join(texts, "head").withColumn("pair", F.explode(pair))
+    # by shuffle at every size: what is small enough to broadcast in a test isn't at scale
+    members = groups.withColumn("block", block).join(picked(docs, groups).hint("merge"), "head").withColumn("pair", F.explode(pair))
     dealt = members.select("group", "pair.i", "pair.j", (F.col("block") == F.col("pair.i")).alias("left"), "set_hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,20 +225,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, rows: int = 5, bands: in
     """
     hashes = rows * bands
     drawn, seen = stored_with(sketches(docs, hashes, rows, words), "sketches", n=F.count("*"))
-    # one document stands for all with its set; a hot set is a row a task before the shuffle
-    classes = drawn.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("head"))
+    # one document stands for all with its set, which have the same bands; a hot set is a row a task before the shuffle
+    classes = drawn.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("head"), F.any_value("bands").alias("bands"))
     heads, of_heads = stored_with(classes, "classes", n=F.count("*"))
-    first = heads.select("set_hash", F.col("head").alias("doc_id"))
     # candidates go by 64 bits of their set hash: classes that share them are candidates together, which the full sets then settle
     short = F.xxhash64("set_hash").alias("short")
-    keys = drawn.select("set_hash", "doc_id", "bands").join(first, ["set_hash", "doc_id"], "left_semi").select(short, F.explode("bands").alias("band"))
+    keys = heads.select(short, F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("short").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     near = looked_up(keys, shared, "band", bands * of_heads["n"], count="n").where("short != pivot").select(F.col("short").alias("a"), F.col("pivot").alias("b"))
     groups = components(near).withColumnRenamed("node", "short").withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
     grouped = looked_up(groups, sizes, "group", of_heads["n"], count="n").join(heads.select("set_hash", "head", short), "short").drop("short")
-    grouped, in_groups = stored_with(grouped, "groups", n=F.count("*"))
-    found = confirmed(grouped, in_groups["n"], docs, percent, hashes, words, slack)
+    found = confirmed(stored(grouped, "groups"), docs, percent, hashes, words, slack)
     tied = heads.join(components(found).withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", "head", F.coalesce("component", "set_hash").alias("part"))
     tied = stored(tied, "tied")
     least = tied.groupBy("part").agg(F.min("head").alias("component"), F.count("*").alias("n"))

@@ -87,11 +87,11 @@ def test_repeated_ids_with_other_texts(spark):
 
 
 def test_hot_classes_and_bands(spark, documents, monkeypatch):
-    """The same with every key of some rows hot, and with all texts shuffled."""
+    """The same with every key of some rows hot, and with a filter so small that it passes all texts."""
     want = sorted(map(tuple, nd.near_duplicates(documents.union(documents)).collect()))
     monkeypatch.setattr(shared, "FEW_ROWS", 0)
     monkeypatch.setattr(shared, "LEAST_HOT", 2)
-    monkeypatch.setattr(nd, "MOST_PICKED", 0)
+    monkeypatch.setattr(nd, "FILTER_BITS", 64)
     assert sorted(map(tuple, nd.near_duplicates(documents.union(documents)).collect())) == want
 
 
