@@ -39,8 +39,8 @@ MOST_COMMON, LEAST_COMMON = 1 << 20, 64
 DISCOUNT, SYMBOLS = 0.5, 257
 #: Sixteenths of the documents that the rounds of training take; each document is in one of them.
 ROUNDS = (1, 3, 12)
-#: Of a text's tokens the network is trained on one in so many; all are neighbours, and all are counted and scored.
-STRIDE = 2
+#: Characters of texts whose tokens are trained on together, in an order of their own; a longer text is a part of its own.
+TOGETHER = 1_000_000
 #: Tokens of a shard, most shards of a round, and parts in which the weights are summed.
 SHARD_TOKENS, MOST_SHARDS, WEIGHT_PARTS = 2_000_000, 1 << 16, 64
 BATCH, RATE = 2048, 0.3
@@ -270,6 +270,20 @@ class Network:
         return loss / max(1, len(rows))
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Texts in lists of about TOGETHER characters, wherever the batches end."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if held and size + len(text) > TOGETHER:
+                yield held
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+    if held:
+        yield held
+
+
 def fit(docs: DataFrame, known: Counts) -> Network:
     """The network, trained on all documents in rounds of growing size.
 
@@ -305,14 +319,11 @@ def fit(docs: DataFrame, known: Counts) -> Network:
             own, words = Network(start.value), Words(shared.value)
             square = [np.full_like(p, 1e-4) for p in own.parts]
             seen = 0
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for a, b in slices(texts, 1_000_000):
-                    parts = split(texts[a:b])
-                    n = np.array([len(x) for x in parts], dtype=np.int64)
-                    found = windows(words.classes(parts), n)[::STRIDE]
-                    own.train(found[np.random.default_rng(seen).permutation(len(found))], square, RATE / (1 + round_))
-                    seen += len(found)
+            for texts in together(batches):
+                parts = split(texts)
+                found = windows(words.classes(parts), np.array([len(x) for x in parts], dtype=np.int64))
+                own.train(found[np.random.default_rng(seen).permutation(len(found))], square, RATE / (1 + round_))
+                seen += len(found)
             if seen:
                 cut = [x.tobytes() for x in np.array_split(own.flat, WEIGHT_PARTS)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(WEIGHT_PARTS), pa.int64()), pa.array(cut, pa.binary()), pa.array([seen] * WEIGHT_PARTS, pa.int64())], ["part", "weights", "n"])

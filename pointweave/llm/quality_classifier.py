@@ -129,10 +129,11 @@ class CumulativeLink:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Texts and grades of at most `most` labelled documents, those first by a hash of the id; a document's worst grade counts."""
+    """Texts and grades of at most `most` labelled documents, those first by a hash of the id; a document's worst grade counts, and of an id with several texts the least."""
     graded = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade()).alias("grade")).where("grade is not null")
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("grade").alias("grade")).select("text", "grade")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> CumulativeLink:

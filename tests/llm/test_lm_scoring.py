@@ -92,6 +92,20 @@ def test_training_does_not_depend_on_partitions(spark, documents):
     assert np.array_equal(one, two)
 
 
+def test_training_does_not_depend_on_batches(spark, documents):
+    """The same weights whatever the size of the batches that reach Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        weights = []
+        for size in ("10000", "7"):
+            spark.conf.set(key, size)
+            weights.append(lm.train(documents).flat)
+    finally:
+        spark.conf.set(key, before)
+    assert np.array_equal(*weights)
+
+
 def test_own_text_beats_its_shuffle(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = lm.train(docs)

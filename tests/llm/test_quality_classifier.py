@@ -106,3 +106,10 @@ def test_odd_rows(spark, odd, none):
     got = qc.classify(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 and r.kept == (r.tail_probability >= 0.5) for r in got)
     assert qc.classify(none, labels).count() == 0
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    """A labelled id with thousands of rows counts once in the sample."""
+    docs = spark.range(5000).selectExpr("id % 2 as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(bytes(r.text) for r in qc.sample(docs, labels, 12).collect()) == [b"text 0", b"text 1"]
