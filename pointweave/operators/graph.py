@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pointweave.functions.criteria import vote
 from pointweave.operators.knn import neighbours
 from pointweave.operators.transform import normalized
+from pointweave.shared import looked_up
 
 
 def neighbour_edges(near: DataFrame, criterion: str, radius: float) -> DataFrame:
@@ -43,11 +44,12 @@ def energy(edges: DataFrame) -> DataFrame:
     return edges.agg(F.coalesce(F.sum(-F.least("weight", F.lit(0.0))), F.lit(0.0)).alias("energy"), F.count("*").alias("edges"))
 
 
-def labelled(edges: DataFrame, solution: DataFrame) -> DataFrame:
-    """edges with the signs of both ends as sign_hi and sign_lo."""
-    hi = solution.select(F.col("node").alias("hi"), F.col("sign").alias("sign_hi"))
-    lo = solution.select(F.col("node").alias("lo"), F.col("sign").alias("sign_lo"))
-    return edges.join(hi, "hi").join(lo, "lo")
+def labelled(edges: DataFrame, solution: DataFrame, total: int | None = None) -> DataFrame:
+    """edges (total of them; else they are counted) with the signs of both ends as sign_hi and sign_lo. A node with very many edges is met by broadcast."""
+    total = edges.count() if total is None else total
+    for end in ("hi", "lo"):
+        edges = looked_up(edges, solution.select(F.col("node").alias(end), F.col("sign").alias(f"sign_{end}")), end, total)
+    return edges
 
 
 def resigned(edges: DataFrame, solution: DataFrame) -> DataFrame:

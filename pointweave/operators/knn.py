@@ -112,8 +112,8 @@ def knn_causal(cloud: DataFrame, k: int, radius: float) -> DataFrame:
     return as_knn(neighbours(cloud, k, radius, causal=True))
 
 
-def knn_cell(cloud: DataFrame, k: int, radius: float, key: Column) -> DataFrame:
-    """As knn_global, but only among points with the same key (such as slice and Morton cell)."""
+def cell_neighbours(cloud: DataFrame, k: int, radius: float, key: Column) -> DataFrame:
+    """As neighbours, but only among points with the same key (such as slice and Morton cell), and without normals."""
     check(k, radius)
     points = usable(cloud).select(*CARRIED[:4], key.alias("_key"))
     place = F.row_number().over(Window.partitionBy("_key", *XYZ).orderBy("id"))
@@ -123,7 +123,11 @@ def knn_cell(cloud: DataFrame, k: int, radius: float, key: Column) -> DataFrame:
         a = a.withColumn(f"_{axis}", F.explode(reached("a", axis, radius)))
     b = answers.select(*(F.col(c).alias(f"b_{c}") for c in CARRIED[:4]), "_key", *(cell(x, radius).alias(f"_{x}") for x in XYZ))
     pairs = a.join(b, ["_key", *(f"_{x}" for x in XYZ)]).withColumn("d2", squared_distance("a", "b"))
-    return as_knn(nearest(pairs.where((F.col("a_id") != F.col("b_id")) & (F.col("d2") < F.lit(radius * radius))), k))
+    return nearest(pairs.where((F.col("a_id") != F.col("b_id")) & (F.col("d2") < F.lit(radius * radius))), k)
+
+
+def knn_cell(cloud: DataFrame, k: int, radius: float, key: Column) -> DataFrame:
+    return as_knn(cell_neighbours(cloud, k, radius, key))
 
 
 def candidate_counts(cloud: DataFrame, radius: float) -> DataFrame:

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.operators.ranking import ranked
 from pointweave.schema import NORMAL, XYZ
+from pointweave.shared import looked_up
 
 
 def dbl(name: str) -> Column:
@@ -122,6 +124,8 @@ def binned_morton(y: Column, z: Column, y_min: float, z_min: float, cell: float)
 
 
 def morton_sorted(cloud: DataFrame, slice_key: Column, y_min: float, z_min: float, cell: float) -> DataFrame:
-    """Columns slice and morton, and rows in their order inside each partition; a slice's rows share a partition."""
+    """Columns slice, morton and nth: a point's place, from 1, in its slice by Morton index and id."""
     keyed = cloud.withColumn("slice", slice_key).withColumn("morton", binned_morton(dbl("py"), dbl("pz"), y_min, z_min, cell))
-    return keyed.repartition("slice").sortWithinPartitions("slice", "morton", "id")
+    rows = ranked(keyed, [F.col("slice"), F.col("morton"), F.col("id")], "nth")
+    first = rows.groupBy("slice").agg(F.min("nth").alias("first"), F.count("*").alias("rows"))
+    return looked_up(rows, first, "slice", cloud.count(), count="rows").withColumn("nth", F.col("nth") - F.col("first") + 1).drop("first", "rows")

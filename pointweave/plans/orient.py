@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.operators import components, forest, graph, refine, segment, stats, transform
+from pointweave.operators import components, forest, graph, refine, roof, segment, stats, transform, trust
 from pointweave.operators.knn import neighbours
 from pointweave.operators.ranking import ranked
-from pointweave.shared import stored
+from pointweave.shared import looked_up, stored, stored_with
 
 
 @dataclass
@@ -44,6 +44,16 @@ def forest_refined(edges: DataFrame) -> DataFrame:
     return refine.refined(edges, forest_only(edges))
 
 
+def forest_roof(edges: DataFrame) -> DataFrame:
+    """As forest_refined, then turns that roof duality finds while a part of the nodes is held, then single flips again."""
+    return roof.improved(edges, forest_refined(edges))
+
+
+def forest_trusted(edges: DataFrame) -> DataFrame:
+    """As forest_refined, then steps of a trust region, then single flips again."""
+    return refine.refined(edges, trust.trusted(edges, forest_refined(edges)))
+
+
 def first_tree_only(edges: DataFrame) -> DataFrame:
     """The forest's signs in the component of the least node of all; elsewhere all signs stay as they are."""
     solution = stored(forest_only(edges), "solution")
@@ -57,7 +67,7 @@ def components_only(edges: DataFrame) -> DataFrame:
 
 
 #: Solvers: from edges (hi, lo, weight) to node, component, sign.
-SOLVERS: dict[str, Callable[[DataFrame], DataFrame]] = {"forest": forest_only, "first tree": first_tree_only, "refined": forest_refined, "components": components_only}
+SOLVERS: dict[str, Callable[[DataFrame], DataFrame]] = {"forest": forest_only, "first tree": first_tree_only, "refined": forest_refined, "roof": forest_roof, "trust region": forest_trusted, "components": components_only}
 
 
 def solve(edges: DataFrame, solver: str = "refined") -> DataFrame:
@@ -68,9 +78,11 @@ def solve(edges: DataFrame, solver: str = "refined") -> DataFrame:
 
 def finished(points: DataFrame, min_extent: float | None, strict: bool) -> DataFrame:
     """Points (column component) of components that are large enough, with comp_rank: 0 for the largest."""
-    points = stored(points, "points")
+    points, seen = stored_with(points, "points", rows=F.count("*"))
     comps = components.by_size(components.large_enough(components.boxes(points), min_extent, strict))
-    return points.join(comps.select("component", "comp_rank"), "component")
+    # nearly all points may be in one component
+    ranks = stored(comps.select("component", "comp_rank", F.col("n").alias("_rows")), "ranks")
+    return looked_up(points, ranks, "component", seen["rows"], count="_rows").drop("_rows")
 
 
 def orient_global(cloud: DataFrame, k: int = 6, radius: float = 1.0, criterion: str = "hoppe", min_extent: float | None = None, solver: str = "refined") -> DataFrame:

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.operators import compare, components, forest, graph, knn, normals, ranking, refine, segment, stats, transform
+from pointweave.operators import compare, components, forest, graph, knn, normals, ordered, ranking, refine, roof, segment, stats, transform, trust
 from pointweave.plans import orient
 from pointweave.schema import COLOR, NORMAL, XYZ, from_table
 from pointweave.shared import shared_dir, stored
 from pointweave.sources import clouds, sinks
+from pointweave.streaming import orient as stream_orient
 from pointweave.streaming import sweep
 
 K, RADIUS = 6, 0.1
@@ -157,6 +159,65 @@ def knn_stream(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn.as_knn(sweep.run_sweep(stream, f"sweep-{uuid.uuid4().hex}", K, RADIUS, low)))
 
 
+def records_e(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, float]:
+    """Cloud E as a stream of binary records in x order, the ids that its records' numbers stand for, and its least x."""
+    cloud, path = cloud_e(spark, sf), f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    ranks = stored(ranking.ranked(cloud, [F.col("px"), F.col("id")], "ord").withColumn("ord", F.col("ord") - 1), "ranks")
+    sinks.write_bin(ranks.drop("id").withColumnRenamed("ord", "id"), path)
+    row = ranks.agg(F.count("*"), F.min("px")).first()
+    return clouds.read_bin_stream(spark, path, max(64, row[0] // STREAM_FILES)), ranks.select("id", "ord"), row[1]
+
+
+def knn_records(spark: SparkSession, sf: str) -> DataFrame:
+    """As knn_stream, from a stream of binary records: so many a batch."""
+    stream, ids, low = records_e(spark, sf)
+    near = knn.as_knn(sweep.run_sweep(stream, f"sweep-{uuid.uuid4().hex}", K, RADIUS, low))
+    for end in ("src", "dst"):
+        near = near.withColumnRenamed(end, "ord").join(ids.withColumnRenamed("id", end), "ord").drop("ord")
+    return rounded(near.select("src", "dst", "d2", "rank"))
+
+
+def segments_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments and flips of cloud E by the stream's keyed state, batch after batch of records."""
+    stream, ids, low = records_e(spark, sf)
+    base, _ = stream_orient.run_segments(stream, f"segments-{uuid.uuid4().hex}", K, RADIUS, low)
+    points = spark.read.schema(stream_orient.POINTS + ", batch int").parquet(f"{base}/points").select(F.col("id").alias("ord"), F.col("segment").alias("first"), "flip")
+    named = points.join(ids, "ord").join(ids.select(F.col("ord").alias("first"), F.col("id").alias("segment")), "first")
+    return rounded(named.select("id", "segment", "flip"))
+
+
+def segments_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments and flips of cloud E, as one sweep gives them."""
+    near = stored(near_e(spark, sf, causal=True), "near")
+    return rounded(segment.segmented(cloud_e(spark, sf), near, "hoppe", RADIUS))
+
+
+def orient_solvers(spark: SparkSession, sf: str) -> DataFrame:
+    """Energies of cloud E's graph after refinement, and after roof duality and the trust region have gone on from there."""
+    edges = stored(edges_e(spark, sf), "edges")
+    start = orient.forest_refined(edges)
+    found = {"refined": start, "roof": roof.improved(edges, start, rounds=2), "trust region": refine.refined(edges, trust.trusted(edges, start, most_steps=3))}
+    return reduce(DataFrame.union, [rounded(graph.model_energy(edges, s)).select(F.lit(name).alias("step"), "energy", "edges") for name, s in found.items()])
+
+
+def prepare_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What turning leaves as it is: each point's distance from the centre and its normal's length; and whether places go by x."""
+    done = orient.prepare(cloud_v(spark, sf)).cloud
+    size = lambda names: F.sqrt(sum((F.col(c) * F.col(c) for c in names[1:]), F.col(names[0]) * F.col(names[0])))
+    ahead = done.select((F.col("ord") + 1).alias("ord"), F.col("px").alias("before"))
+    done = done.join(ahead, "ord", "left")
+    return done.select("id", F.round(size(XYZ), 3).alias("from_centre"), F.round(size(NORMAL), 6).alias("length"), F.coalesce(F.col("px") >= F.col("before"), F.col("ord") == 1).alias("in_order"))
+
+
+def normal_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the neighbourhood extends along the axis that is the normal: the least such extent."""
+    found = normals.axes(normals.local_covariance(cloud_e(spark, sf), 0.15))
+    e = dict(zip("xyz", ("ex", "ey", "ez"), strict=True))
+    extent = sum((F.lit(1.0 if a == b else 2.0) * F.col(f"c{a[1]}{b[1]}") * F.col(e[a[1]]) * F.col(e[b[1]]) for a, b in normals.PAIRS), F.lit(0.0))
+    length = sum((F.col(x) * F.col(x) for x in e.values()), F.lit(0.0))
+    return found.select("id", F.round(extent, 5).alias("extent"), F.round(length, 6).alias("length"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cloud_count": lambda s, d: cloud_l(s, d).agg(F.count("*").alias("n")),
     "bbox": lambda s, d: stats.bbox(cloud_l(s, d)),
@@ -175,6 +236,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_causal": lambda s, d: rounded(knn.knn_causal(cloud_e(s, d), K, RADIUS)),
     "knn_cell": lambda s, d: rounded(knn.knn_cell(cloud_e(s, d), 20, 0.2, cell_key())),
     "knn_stream": knn_stream,
+    "knn_records": knn_records,
+    "segments_batch": segments_batch,
+    "segments_stream": segments_stream,
     "knn_candidates": lambda s, d: rounded(knn.candidate_counts(cloud_e(s, d), RADIUS)),
     "edges_global": lambda s, d: rounded(edges_e(s, d)),
     "edge_rank": lambda s, d: ranking.ranked(edges_e(s, d).withColumn("size", F.abs("weight")), [F.desc("size"), F.asc("hi"), F.asc("lo")], "edge_rank").select("hi", "lo", "edge_rank"),
@@ -199,17 +263,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_ply": scan_ply,
     "scan_bin": scan_bin,
     "ply_lines": lambda s, d: sinks.ply_lines(cloud_e(s, d).drop(*COLOR)),
+    "slices": lambda s, d: ordered.sliced(cloud_v(s, d), DAY, 400).select("id", "place", "slice"),
+    "ordered_gaps": lambda s, d: rounded(ordered.gaps(cloud_v(s, d))),
+    "normal_residuals": normal_residuals,
     "estimate_normals": lambda s, d: normals.estimated(cloud_e(s, d), 0.15).select("id", *NORMAL),
     "prepare_streaming": lambda s, d: orient.prepare(cloud_v(s, d)).cloud.select("id", "ord", *XYZ),
     "randomize_normals": lambda s, d: transform.randomized(cloud_v(s, d)).select("id", *NORMAL),
     "randomize_sizes": lambda s, d: rounded(transform.randomized(cloud_v(s, d)).select("id", *(F.abs(F.col(c)).alias(c) for c in NORMAL), F.signum(F.col("nx") * F.col("nz")).alias("turn"))),
     "prepare_sorted": lambda s, d: rounded(orient.prepare(cloud_v(s, d), realign=False).cloud.select("id", "ord", *XYZ)),
-    "morton_sorted": lambda s, d: transform.morton_sorted(cloud_v(s, d), F.floor(transform.dbl("px") / DAY), 0.0, 0.0, 2.5).select("id", "slice", "morton"),
+    "morton_sorted": lambda s, d: transform.morton_sorted(cloud_v(s, d), F.floor(transform.dbl("px") / DAY), 0.0, 0.0, 2.5).select("id", "slice", "morton", "nth"),
+    "prepare_invariants": prepare_invariants,
     "mst_first_tree": lambda s, d: rounded(orient.solve(edges_e(s, d), "first tree")),
     "forest_energies": forest_energies,
     "edge_stats_resigned": edge_stats_resigned,
     "orient_accuracy": orient_accuracy,
     "orient_refine": orient_refine,
+    "orient_solvers": orient_solvers,
     "orient_global": lambda s, d: orient.orient_global(cloud_e(s, d), K, RADIUS),
     "orient_stream": lambda s, d: orient.orient_stream(cloud_e(s, d), K, RADIUS),
 }
@@ -287,6 +356,16 @@ def color_sql(shift: int) -> str:
 SEGMENTS = f"WITH {E1}, {knn_sql(BEFORE)}, seg AS (SELECT id, id % 7 AS segment, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS flip FROM e)"
 G6 = "format('{:.6g}', %s)"
 
+COVARIANCE = f"WITH {E1}, {knn_sql(k=20, r2=f'{0.15 * 0.15!r}::DOUBLE')}, m AS (SELECT src, count(*) AS n, avg(px) AS mx, avg(py) AS my, avg(pz) AS mz FROM near JOIN e ON id = dst GROUP BY 1), u AS (SELECT src, px - mx AS x, py - my AS y, pz - mz AS z, sqrt((px - mx) * (px - mx) + (py - my) * (py - my) + (pz - mz) * (pz - mz)) AS s FROM near JOIN m USING (src) JOIN e ON id = dst), w AS (SELECT src, " + ", ".join(f"sum(CASE WHEN s > 0 THEN ({a[1]} / s) * ({b[1]} / s) ELSE 0 END) AS w{a[1]}{b[1]}" for a, b in stats.PAIRS) + " FROM u GROUP BY 1)"
+SUMS = [f"(({a} - m{a[1]}) * ({b} - m{b[1]}) + w{a[1]}{b[1]})" for a, b in stats.PAIRS]
+#: The least eigenvalue of a symmetric matrix by the roots of its polynomial.
+LEAST_EXTENT = (
+    COVARIANCE + ", c AS (SELECT id, " + ", ".join(f"{x} AS c{a[1]}{b[1]}" for (a, b), x in zip(stats.PAIRS, SUMS, strict=True)) + " FROM m JOIN w USING (src) JOIN e ON id = src WHERE n >= 3), "
+    "t AS (SELECT *, (cxx + cyy + czz) / 3 AS q FROM c), s AS (SELECT *, sqrt(((cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) AS p FROM t), "
+    "d AS (SELECT *, ((cxx - q) * ((cyy - q) * (czz - q) - cyz * cyz) - cxy * (cxy * (czz - q) - cyz * cxz) + cxz * (cxy * cyz - (cyy - q) * cxz)) / (2 * p * p * p) AS r FROM s) "
+    "SELECT id, round(q + 2 * p * cos(acos(greatest(-1, least(1, r))) / 3 + 2 * pi() / 3), 5) AS extent, 1.0::DOUBLE AS length FROM d"
+)
+
 ORACLES: dict[str, str] = {
     "cloud_count": "SELECT count(*) AS n FROM lineitem",
     "bbox": f"WITH {L} SELECT " + ", ".join(f"{n}({c}) AS {n}_{c[1]}" for c in XYZ for n in ("min", "max")) + " FROM l",
@@ -304,6 +383,7 @@ ORACLES: dict[str, str] = {
     "knn_global": f"WITH {E1}, {knn_sql()} SELECT src, dst, round(d2, 6) AS d2, rank FROM near",
     "knn_causal": f"WITH {E1}, {knn_sql(BEFORE)} SELECT src, dst, round(d2, 6) AS d2, rank FROM near",
     "knn_stream": f"WITH {E1}, {knn_sql(BEFORE)} SELECT src, dst, round(d2, 6) AS d2, rank FROM near",
+    "knn_records": f"WITH {E1}, {knn_sql(BEFORE)} SELECT src, dst, round(d2, 6) AS d2, rank FROM near",
     "knn_cell": f"WITH {E1}, c AS (SELECT *, floor((px + 1) / 0.4)::BIGINT * 4294967296 + {morton_sql('floor((py + 1) / 0.2)', 'floor((pz + 1) / 0.2)')} AS key FROM e), {knn_sql('a.id <> b.id AND a.key = b.key', 20, f'{0.2 * 0.2!r}::DOUBLE', 'c')} SELECT src, dst, round(d2, 6) AS d2, rank FROM near",
     "knn_candidates": f"WITH {E0}, c AS (SELECT id, floor(px / {RADIUS!r}::DOUBLE) AS x, floor(py / {RADIUS!r}::DOUBLE) AS y, floor(pz / {RADIUS!r}::DOUBLE) AS z FROM e0) SELECT (SELECT count(*) FROM c) AS points, count(*) AS candidates FROM c a JOIN c b ON a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1",
     "edges_global": f"WITH {E1}, {edges_sql()} SELECT hi, lo, {r6('d2', 'weight')} FROM edges",
@@ -323,14 +403,18 @@ ORACLES: dict[str, str] = {
     "apply_orientation": f"WITH RECURSIVE {KRUSKAL} SELECT id, coalesce(component, id) AS component, " + ", ".join(f"round({c} * coalesce(sign, 1), 6) AS {c}" for c in NORMAL) + " FROM e LEFT JOIN solution ON node = id",
     "randomize_sizes": f"WITH {V} SELECT id, " + ", ".join(f"round(abs({c}), 6) AS {c}" for c in NORMAL) + ", sign(nx * nz)::DOUBLE AS turn FROM v",
     "prepare_sorted": f"WITH {V} SELECT id, row_number() OVER (ORDER BY px, id) AS ord, {r6(*XYZ)} FROM v",
-    "morton_sorted": f"WITH {V} SELECT id, floor(px / {DAY!r}::DOUBLE)::BIGINT AS slice, {morton_sql('trunc(py / 2.5)', 'trunc(pz / 2.5)')} AS morton FROM v",
+    "morton_sorted": f"WITH {V}, m AS (SELECT id, floor(px / {DAY!r}::DOUBLE)::BIGINT AS slice, {morton_sql('trunc(py / 2.5)', 'trunc(pz / 2.5)')} AS morton FROM v) SELECT *, row_number() OVER (PARTITION BY slice ORDER BY morton, id) AS nth FROM m",
+    "prepare_invariants": f"WITH {V}, c AS (SELECT avg(px) AS x, avg(py) AS y, avg(pz) AS z FROM v) SELECT id, round(sqrt((px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z)), 3) AS from_centre, round(sqrt(nx * nx + ny * ny + nz * nz), 6) AS length, true AS in_order FROM v, c",
     "mst_first_tree": f"WITH RECURSIVE {KRUSKAL} SELECT node, component, CASE WHEN component = (SELECT min(component) FROM solution) THEN sign ELSE 1 END::BIGINT AS sign FROM solution",
     "forest_energies": f"WITH RECURSIVE {KRUSKAL} SELECT 'as it came' AS step, round(sum(-least(weight, 0)), 6) AS energy, count(*) AS edges FROM signed WHERE weight <> 0 UNION ALL SELECT 'forest', round(sum(-least(weight * turn, 0)), 6), count(*) FROM signed WHERE weight <> 0",
     "edge_stats_resigned": f"WITH RECURSIVE {KRUSKAL} SELECT count(*) AS edges, count(*) FILTER (weight * turn < 0) AS negative, count(*) FILTER (weight * turn = 0) AS zero FROM signed WHERE weight <> 0",
     "segment_votes": f"{SEGMENTS}, votes AS (SELECT src, segment, d2, dot * (1 - d2 / {R2}) AS vote FROM near JOIN seg ON id = dst) SELECT src, segment, round(sum(greatest(vote, 0)), 6) AS pos, round(sum(least(vote, 0)), 6) AS neg, round(min(d2), 6) AS min_d2 FROM votes GROUP BY 1, 2",
     "edges_segment": f"{SEGMENTS} SELECT greatest(s.segment, t.segment) AS hi, least(s.segment, t.segment) AS lo, round(sum(dot * (1 - d2 / {R2}) * s.flip * t.flip), 6) AS weight FROM near JOIN seg s ON s.id = src JOIN seg t ON t.id = dst WHERE s.segment <> t.segment GROUP BY 1, 2",
     "compare_normals": f"WITH {E0}, a AS (SELECT *, row_number() OVER (PARTITION BY px, py, pz ORDER BY id) AS nth FROM e0), b AS (SELECT px, py, pz, row_number() OVER (PARTITION BY px, py, pz ORDER BY id) AS nth, " + ", ".join(f"CASE WHEN id % 3 = 0 THEN -{c} ELSE {c} END AS {c}" for c in NORMAL) + f" FROM e0 WHERE id % 10 <> 0) SELECT count(*) FILTER ({DOT} > 0) AS correct, count(*) FILTER (a.nth IS NOT NULL AND b.nth IS NOT NULL AND NOT {DOT} > 0) AS wrong, count(*) FILTER (b.nth IS NULL) AS skipped1, count(*) FILTER (a.nth IS NULL) AS skipped2 FROM a FULL JOIN b ON a.px = b.px AND a.py = b.py AND a.pz = b.pz AND a.nth = b.nth",
-    "local_covariance": f"WITH {E1}, {knn_sql(k=20, r2=f'{0.15 * 0.15!r}::DOUBLE')}, m AS (SELECT src, count(*) AS n, avg(px) AS mx, avg(py) AS my, avg(pz) AS mz FROM near JOIN e ON id = dst GROUP BY 1), u AS (SELECT src, px - mx AS x, py - my AS y, pz - mz AS z, sqrt((px - mx) * (px - mx) + (py - my) * (py - my) + (pz - mz) * (pz - mz)) AS s FROM near JOIN m USING (src) JOIN e ON id = dst), w AS (SELECT src, " + ", ".join(f"sum(CASE WHEN s > 0 THEN ({a[1]} / s) * ({b[1]} / s) ELSE 0 END) AS w{a[1]}{b[1]}" for a, b in stats.PAIRS) + " FROM u GROUP BY 1) SELECT id, n, " + ", ".join(f"round(({a} - m{a[1]}) * ({b} - m{b[1]}) + w{a[1]}{b[1]}, 6) AS c{a[1]}{b[1]}" for a, b in stats.PAIRS) + " FROM m JOIN w USING (src) JOIN e ON id = src",
+    "local_covariance": COVARIANCE + " SELECT id, n, " + ", ".join(f"round({x}, 6) AS c{a[1]}{b[1]}" for (a, b), x in zip(stats.PAIRS, SUMS, strict=True)) + " FROM m JOIN w USING (src) JOIN e ON id = src",
+    "normal_residuals": LEAST_EXTENT,
+    "ordered_gaps": f"WITH {V} SELECT id, row_number() OVER (ORDER BY px, id) AS ord, coalesce(round(px - lag(px) OVER (ORDER BY px, id), 6), 0) AS gap FROM v",
+    "slices": f"WITH RECURSIVE {V}, x AS (SELECT id, px, row_number() OVER (ORDER BY px, id) AS place FROM v), nxt AS (SELECT place, least(place + 400, coalesce(min(place) OVER (ORDER BY px RANGE BETWEEN {DAY!r}::DOUBLE FOLLOWING AND UNBOUNDED FOLLOWING), place + 400)) AS next FROM x), s(place, slice) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT next, slice + 1 FROM s JOIN nxt USING (place) WHERE next <= (SELECT count(*) FROM v)) SELECT id, x.place, max(slice) AS slice FROM x JOIN s ON s.place <= x.place GROUP BY 1, 2",
     "slice_size": f"WITH RECURSIVE {V}, x AS (SELECT px, min(place) AS place FROM (SELECT px, row_number() OVER (ORDER BY px, id) AS place FROM v) GROUP BY 1), nxt AS (SELECT place, min(place) OVER (ORDER BY px RANGE BETWEEN {DAY!r}::DOUBLE FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM x), s(place, size) AS (SELECT 1::BIGINT, 0::BIGINT UNION ALL SELECT next, next - nxt.place FROM s JOIN nxt USING (place) WHERE next IS NOT NULL) SELECT CASE WHEN max(size) > 0 THEN max(size) ELSE (SELECT count(*) FROM v) END AS slice_size FROM s",
     "scan_ply": f"WITH {E0} SELECT row_number() OVER (ORDER BY id) - 1 AS id, " + ", ".join(f"round({G6 % c}::FLOAT::DOUBLE, 6) AS {c}" for c in [*XYZ, *NORMAL]) + " FROM e0",
     "scan_bin": f"WITH {E0} SELECT row_number() OVER (ORDER BY id) - 1 AS id, {r6(*XYZ, *NORMAL)} FROM e0",

@@ -52,6 +52,9 @@ def run_sweep(stream: DataFrame, name: str, k: int, radius: float, x_min: float)
     """Drive the stream to its present end and return each point's k nearest causal neighbours, from the pairs that the stream wrote."""
     base = f"{shared_dir(stream.sparkSession)}/{name}"
     pairs = causal_pairs(stream, radius, x_min)
-    query = pairs.writeStream.format("parquet").outputMode("append").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = pairs.writeStream.format("parquet").outputMode("append").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
     return nearest(stream.sparkSession.read.schema(pairs.schema).parquet(f"{base}/pairs"), k)
