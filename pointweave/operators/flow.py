@@ -2,19 +2,26 @@
 
 A phase labels every node by its distance to the sink in the residual graph, then lets excess go from the farthest level to the next
 one, level by level. So an arc carries flow at most once a phase and residuals are settled once at its end. What finds its way barred
-waits for the next phase's labels; the phases end when no node with excess can reach the sink any more.
+waits for the next phase's labels; the phases end when no node with excess can reach the sink any more. Parts of the graph that are not tied to each
+other are cut side by side: small ones in tasks of bounded size, by the same phases.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.shared import forget, stored, stored_with
+from pointweave.operators.components import connected
+from pointweave.shared import forget, looked_up, stored, stored_with
 
 #: The sink among the nodes, which are not negative; and the least amount of flow that counts.
 SINK, LEAST = -1, 1e-12
 MOST_PHASES, MOST_LEVELS = 1_000, 100_000
+#: Arcs of a part that a task cuts by itself, and about those of all parts that it is given.
+SMALL = 20_000
 
 
 def levels(arcs: DataFrame, active: DataFrame | None, n: int) -> tuple[DataFrame, int]:
@@ -48,15 +55,73 @@ def arrived(push: DataFrame) -> DataFrame:
     return push.where(F.col("v") != SINK).select(F.col("v").alias("u"), F.col("p").alias("e"))
 
 
+def cut_here(arcs: dict[int, dict[int, float]], excess: dict[int, float]) -> set[int]:
+    """sink_side() of a graph in memory: residuals by node and next node."""
+    while True:
+        back = defaultdict(list)
+        for u, out in arcs.items():
+            for v, r in out.items():
+                if r > LEAST:
+                    back[v].append(u)
+        level, last, depth = {SINK: 0}, [SINK], 0
+        while last:
+            last = list(dict.fromkeys(u for v in last for u in back[v] if u not in level))
+            depth += 1
+            level |= dict.fromkeys(last, depth)
+        if not any(e > LEAST and u in level for u, e in excess.items()):
+            return set(level) - {SINK}
+        for u in sorted(level, key=lambda u: (-level[u], u)):
+            for v in sorted(arcs.get(u, ())):
+                p = min(arcs[u][v], excess.get(u, 0.0)) if level.get(v, -1) == level[u] - 1 else 0.0
+                if p > LEAST:
+                    arcs[u][v] -= p
+                    excess[u] -= p
+                    if v != SINK:
+                        excess[v] = excess.get(v, 0.0) + p
+                        arcs.setdefault(v, {})[u] = arcs.get(v, {}).get(u, 0.0) + p
+
+
+def cut_in_tasks(rows: DataFrame, n: int) -> DataFrame:
+    """u of sink_side() for parts of the graph that are small; rows: part, u, v (null for excess) and r, n of them."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        arcs, excess = defaultdict(dict), {}
+        for u, v, given, r in zip(own["u"].tolist(), own["v"].tolist(), own["given"].tolist(), own["r"].tolist(), strict=True):
+            if given:
+                excess[u] = r
+            else:
+                arcs[u][v] = r
+        return pd.DataFrame({"u": sorted(cut_here(dict(arcs), excess))}, dtype="int64")
+
+    bundle = F.pmod(F.xxhash64("part"), F.lit(max(1, -(-n // SMALL))))
+    own = rows.select(bundle.alias("bundle"), "u", F.coalesce("v", F.lit(0)).alias("v"), F.col("v").isNull().alias("given"), "r")
+    return own.groupBy("bundle").applyInPandas(run, "u long")
+
+
 def sink_side(arcs: DataFrame, excess: DataFrame) -> DataFrame:
     """u: the nodes that still reach the sink when all the flow there is has gone there, which is the sink's side of the minimum cut nearest to it.
 
     arcs: u, v (SINK, or a node) and r, both directions of a pair as rows of their own; excess: u and e, what the source gives to u. Rows of a pair
-    or node that repeat are added up.
+    or node that repeat are added up. Parts of over SMALL arcs are cut by rounds of joins.
     """
-    spark = arcs.sparkSession
     arcs = stored(arcs.groupBy("u", "v").agg(F.sum("r").cast("double").alias("r")), "arcs")
-    excess, active = stored_with(excess.groupBy("u").agg(F.sum("e").cast("double").alias("e")).where(F.col("e") > LEAST), "excess", n=F.count("*"))
+    every = arcs.union(excess.groupBy("u").agg(F.sum("e").cast("double").alias("r")).select("u", F.lit(None).cast("long").alias("v"), "r"))
+    tied = connected(arcs.where(F.col("v") != SINK).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    rows, seen = stored_with(every.join(tied.withColumnRenamed("node", "u"), "u", "left").select("u", "v", "r", F.coalesce("component", "u").alias("part")), "rows", n=F.count("*"))
+    sizes, most = stored_with(rows.groupBy("part").agg(F.count("*").alias("n")), "sizes", n=F.max("n"))
+    if (most["n"] or 0) <= SMALL:
+        return cut_in_tasks(rows, seen["n"])
+    sized, of_sized = stored_with(looked_up(rows, sizes, "part", seen["n"], count="n"), "sized", small=F.count_if(F.col("n") <= SMALL))
+    large = sized.where(F.col("n") > SMALL)
+    far = cut_by_joins(large.where("v is not null").select("u", "v", "r"), large.where("v is null").select("u", F.col("r").alias("e")))
+    return far.union(cut_in_tasks(sized.where(F.col("n") <= SMALL), of_sized["small"]))
+
+
+def cut_by_joins(arcs: DataFrame, excess: DataFrame) -> DataFrame:
+    """sink_side() of a graph of any size; no pair or node repeats."""
+    spark = arcs.sparkSession
+    arcs = stored(arcs, "arcs")
+    excess, active = stored_with(excess.where(F.col("e") > LEAST), "excess", n=F.count("*"))
     for _ in range(MOST_PHASES):
         reach, depth = levels(arcs, excess, active["n"]) if active["n"] else levels(arcs, None, 0)
         if not active["n"]:

@@ -59,8 +59,10 @@ def test_persistent_labels(spark):
     assert len(got) > len(part) and -1 in got.values()  # the relaxation tells something
 
 
-def test_minimum_cuts(spark):
-    """The sink's side nearest to it, against all cuts of small graphs."""
+@pytest.mark.parametrize("small", [flow.SMALL, 12])
+def test_minimum_cuts(spark, monkeypatch, small):
+    """The sink's side nearest to it, against all cuts of small graphs; most parts in tasks, or by rounds of joins."""
+    monkeypatch.setattr(flow, "SMALL", small)
     rng, rows, given_, want = random.Random(5), [], [], set()
     for k in range(30):
         n = rng.randrange(1, 9)
