@@ -43,7 +43,7 @@ ROUNDS = (1, 3, 12)
 TOGETHER = 1_000_000
 #: Tokens of a shard, most shards of a round, and parts in which the weights are summed.
 SHARD_TOKENS, MOST_SHARDS, WEIGHT_PARTS = 2_000_000, 1 << 16, 64
-BATCH, RATE = 2048, 0.3
+BATCH, RATE = 8192, 0.3
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -262,8 +262,9 @@ class Network:
             for p in range(2 * SIDE):
                 near = part[:, 1 + p].astype(np.uint16)
                 order = np.argsort(near, kind="stable")
-                kinds, first = np.unique(near[order], return_index=True)
-                gt[p][kinds] = np.add.reduceat(gh[order], first)
+                near = near[order]
+                first = np.concatenate([[0], np.flatnonzero(near[1:] != near[:-1]) + 1])
+                gt[p][near[first]] = np.add.reduceat(gh[order], first)
             for x, s, d in zip(self.parts, square, (gt, gh.sum(axis=0), h.T @ z, z.sum(axis=0), gb, gb0), strict=True):
                 s += d * d
                 x -= rate * d / np.sqrt(s)
