@@ -146,3 +146,16 @@ def test_many_points_at_one_position(spark, monkeypatch):
     assert tuple(compare.compare_normals(cloud, other).first()) == want
     row = compare.compare_normals(spark.range(100_000).selectExpr("id", *(f"0f {c}" for c in ("px", "py", "pz", "nx", "ny")), "1f nz"), cloud.where("px = 0")).first()
     assert tuple(row) == (60, 0, 100_000 - 60, 0)
+
+
+def test_the_coin_is_a_hash_of_id_and_seed(spark):
+    """The sign of each point, reckoned again: XXH64 of the id, then of the seed."""
+    import struct
+
+    import xxhash
+
+    p, n = sphere(200)
+    for seed in (0, 7):
+        got = {r.id: np.sign(r.nz) for r in transform.randomized(frame(spark, p, np.tile((0, 0, 1), (200, 1))), seed).collect()}
+        coin = lambda k: xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(struct.pack("<q", k), 42)) & 1  # noqa: B023, E731
+        assert got == {k: -1 if coin(k) else 1 for k in range(200)}
