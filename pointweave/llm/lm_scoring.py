@@ -43,7 +43,7 @@ ROUNDS = (1, 3, 12)
 TOGETHER = 1_000_000
 #: Tokens of a shard, most shards of a round, and parts in which the weights are summed.
 SHARD_TOKENS, MOST_SHARDS, WEIGHT_PARTS = 2_000_000, 1 << 16, 64
-BATCH, RATE = 8192, 0.3
+BATCH, RATE = 4096, 0.3
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
