@@ -1,8 +1,9 @@
 """Main text of HTML pages: flat text blocks, judged by word count and link density of themselves and their neighbours.
 
-The judge is a decision tree (least Gini impurity), trained on a small labelled table of blocks. Elements that are beside the
-text by their meaning or name (menus, footers, adverts, comments) are no blocks of it, and where a page marks its main element
-that decides, since neither can be told from words and links: an advert may be a sentence, and a paragraph two words.
+The judge of every block is a decision tree (least Gini impurity), trained on a small labelled table of blocks. It sees words and link
+density of the block and of the blocks before and after, whether the page marks a main element and the block lies in it, and whether
+an element or name around the block says that it is beside the text. A name of two meanings (`search`, `related`, `notice`) is told
+apart by words and links; a plain one (`advert`, `comments`) cannot be, since an advert may be a sentence, and a paragraph two words.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,12 @@ MAIN = {"article", "main"}
 IN_HEAD = {"title", "base", "link", "meta", "script", "style", "noscript", "template"}
 #: Last words of names in class, id or role for what isn't the article, once the words of LAYOUT are off: `cookie-notice` and
 #: `comment-list` are named so, `side-effects` and `related-work` are not.
-BESIDE = set(
-    "ad ads adsense advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot masthead header cookie cookies consent "
-    "notice alert popup modal share sharing social related recommended recommendations newsletter subscribe signup login form search comment comments commentlist replies reply respond responses disqus "
-    "discussion gdpr topbar skip contentinfo complementary widget copyright pagination toolbar".split()
+PLAIN = set(
+    "ad ads adsense advert advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar foot footer masthead header cookie cookies consent "
+    "popup modal social newsletter subscribe signup login form comment comments commentlist disqus gdpr topbar skip contentinfo complementary pagination toolbar".split()
 )
+#: Names that an article's own parts may carry, too.
+UNSURE = set("banner side notice alert share sharing related recommended recommendations search reply replies respond response responses discussion widget copyright".split())
 #: Of these, what counts on a main element itself; and what does not count inside one.
 BESIDE_MAIN = set("ad ads advert promo sponsor sponsored related comment comments reply replies".split())
 HEADING = {"header", "masthead"}
@@ -54,16 +57,28 @@ _NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 _NOTED = {name: re.compile(rf"</(?:{name}|semantics|math)(?=[\s/>])", re.I) for name in ANNOTATION}
-FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after"]
+FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place", "beside"]
+
+
+class Block(NamedTuple):
+    text: str
+    words: int
+    link_density: float
+    #: Whether it lies in the main element.
+    main: bool
+    #: What is around it: 0 nothing that tells, 1 a name of UNSURE, 2 an element or a name that is beside the text.
+    beside: int
 
 
 def named(names: str) -> set[str]:
-    """The last word of each name that is no word of layout (or the last of all); names such as `has-sidebar` or `no-comments` say nothing."""
+    """The last word of each name that is no word of layout (or the last of all), or where that is of UNSURE a word of PLAIN before it, as in
+    `cookie-notice`; names such as `has-sidebar` or `no-comments` say nothing."""
     out = set()
     for name in names.lower().split():
         words = _NAMED.findall(name)
         if words and words[0] not in ("has", "with", "no"):
-            out.add(next((w for w in reversed(words) if w not in LAYOUT), words[-1]))
+            last = next((w for w in reversed(words) if w not in LAYOUT), words[-1])
+            out.add(next((w for w in words if w in PLAIN), last) if last in UNSURE else last)
     return out
 
 
@@ -85,26 +100,26 @@ def attributes(tag: str) -> dict[str, str]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """Text, word count, link density, whether inside the main element and whether inside something beside it, of each block in page order."""
-    out: list[tuple[str, int, float, bool, bool]] = []
+def blocks(page: str) -> list[Block]:
+    """The blocks in page order; what is hidden, and what no reader sees, is none."""
+    out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, main, aside
+    stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, main, beside
     open_: Counter[str] = Counter()
     in_link = 0
     noted = True  # whether an annotation's end may follow
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, bool, int]:
+        return stack[-1][1:] if stack else (False, False, 0)
 
     def flush() -> None:
         if text:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if whole:
                 words, links = len(whole.split()), len(html.unescape("".join(linked)).split())
-                _, main, aside = state()
-                out.append((whole, words, min(1.0, links / words), main, aside))
+                _, main, beside = state()
+                out.append(Block(whole, words, min(1.0, links / words), main, beside))
             text.clear()
             linked.clear()
 
@@ -173,27 +188,33 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             close(name)  # these close one of their own kind
-        hidden, main, aside = state()
+        hidden, main, beside = state()
         has = attributes(tag)
-        outside = name in ASIDE or (name == "header" and not main)
-        if name not in ("html", "body"):
+        if name in ASIDE or (name == "header" and not main):
+            beside = 2
+        elif name not in ("html", "body"):
             names = named(" ".join(has[x] for x in ("class", "id", "role") if x in has))
-            outside = outside or not names.isdisjoint(BESIDE_MAIN if name in MAIN else BESIDE - HEADING if main else BESIDE)
+            if not names.isdisjoint(BESIDE_MAIN if name in MAIN else PLAIN - HEADING if main else PLAIN):
+                beside = 2
+            elif name not in MAIN and not names.isdisjoint(UNSURE):
+                beside = max(beside, 1)
         unseen = name in HIDDEN or "hidden" in has or bool(_NO_DISPLAY.search(has.get("style", "")))
-        stack.append((name, hidden or unseen, main or name in MAIN, aside or outside))
+        stack.append((name, hidden or unseen, main or name in MAIN, beside))
         open_[name] += 1
     flush()
     return out
 
 
-def features(found: list[tuple[str, int, float, bool, bool]]) -> np.ndarray:
-    """A row of FEATURES for each block; beyond the ends stand empty blocks."""
+def features(found: list[Block]) -> np.ndarray:
+    """A row of FEATURES for each block of a page; beyond the ends stand empty blocks. place: 0 on a page without a main element, else 1 beside it and 2 in it."""
     n = np.array([0, *(b[1] for b in found), 0], dtype=float)
     d = np.array([0, *(b[2] for b in found), 0], dtype=float)
-    return np.column_stack([n[1:-1], d[1:-1], n[:-2], d[:-2], n[2:], d[2:]])
+    main = np.array([b[3] for b in found], dtype=float)
+    place = main + 1 if main.any() else main
+    return np.column_stack([n[1:-1], d[1:-1], n[:-2], d[:-2], n[2:], d[2:], place, [float(b[4]) for b in found]])
 
 
-#: The labelled table: pages without main elements, whose blocks are content if they start with +, else not.
+#: The labelled table: pages whose blocks are content if they start with +, else not.
 LABELLED = [
     '<body><div id="menu"><a href="/1">-One</a> <a href="/2">two</a> <a href="/3">three</a></div><div><p>+A page without a main element has its text in plain paragraphs, of which this one has more than twenty words in all, so that it is plain.</p><p>+The second paragraph also has a number of words, more than ten at any rate, and follows the first one.</p><p>+End.</p></div><div><a href="/4">-Next page</a></div><div class="sidebar">-Other words beside the text that nobody asked for at all</div><div>-All rights reserved</div></body>',
     '<body><div><a href="/5">-Index</a></div><h1>+Another headline</h1><p>+Again a text of some length, which has a few words more than others, and <a href="/y">a link</a> within it as well, but not much else to say.</p><p>+And more of it, with some more words to make it long enough to be a text.</p><form>-Write your name and your address here to get our letter every week</form><div><a href="/6">-Privacy</a> <a href="/7">Terms</a></div></body>',
@@ -201,8 +222,8 @@ LABELLED = [
     '<body><p>+One plain paragraph on a page of its own, with more than a dozen words in it.</p></body>',
     '<body><p><a href="/9">-Read more here</a></p><p>+Plain text follows it, in a paragraph of a dozen words and a few more.</p><p>+Short end of it.</p></body>',
 ]
-#: More labelled blocks, of pages without main elements or telling names: a page is a row of blocks, each with its number of words, those of
-#: them in links after a slash, and + for content or - for what is beside it.
+#: More labelled blocks: a page is a row of blocks, each with its number of words, those of them in links after a slash, ? for a name of UNSURE
+#: or ! for something beside the text around it, and + for content or - for what is not. Brackets hold the main element.
 LABELLED_BLOCKS = [
     "1/1- 1/1- 2/2- 6+ 45/1+ 3+ 80/2+ 12+ 4/4- 3/3-",
     "4- 1/1- 1/1- 1/1- 7+ 2+ 35+ 61/3+ 40+ 5/5- 6/6- 4/4- 9/2-",
@@ -224,18 +245,64 @@ LABELLED_BLOCKS = [
     "2/2- 2/2- 11+ 13+ 10+ 12+ 14+ 6/6- 6/6-",
     "6+ 3+ 27+ 4+ 3+ 32+ 3+ 2/2- 2/2-",
     "1/1- 3- 2/2- 3+ 58+ 3+ 3+ 49/1+ 3+ 1/1- 3- 1/1-",
+    "1/1!- 1/1!- 2/2!- 9!- [ 8+ 120/3+ 2+ 75+ 31+ ] 2!- 14!-",
+    "1/1!- 1/1!- 1/1!- 11!- [ 5+ 1+ 3+ 62+ 1+ 2+ 4/4+ ] 3- 25- 7/7- 18!-",
+    "6/6- 2/2- 30- [ 4+ 33+ 7/7+ 12/12+ 3+ 90+ ] 40- 21/2- 2/2-",
+    "3- [ 10+ 200/9+ 16!- 180/2+ 1?- 6/6?- 8/8?- 44+ 3/3!- 28!- 35!- ] 2/2- 16-",
+    "2/2!- [ 6+ 14?+ 50+ 25?+ 3?+ 2?- 2/2?- 3/3?- 1?- 1/1?- 65/1+ ] 1/1!-",
+    "[ 7+ 9?+ 38+ 4?+ 17/1?+ 70+ 1?- 5/5?- 6/5?- 4/4?- 2?- 7/7?- ] 12?- 3?- 40?-",
+    "[ 9+ 22+ 6?+ 11?+ 3/3+ 2/2+ 1+ 1+ 45+ 2/2!- 12!- 8!- ]",
+    "1/1!- 1/1!- [ 77+ 9!- 33+ 14!- 2+ 21!- 50+ 5!- 80+ 17/1!- ] 2/2- 3!-",
+    "2/2!- 3/3!- [ 64+ 12!- 90+ 7!- 7+ 30!- 11!- 26!- 4!- 40!- ] 66!-",
+    "1/1- 4/4- [ 58+ 3+ 71+ 18!- 52+ 6!- 13!- 24!- 9!- 45!- 60!- ] 1/1!- 53!-",
+    "1/1!- 2/2!- 61+ 5+ 83/1+ 3/3!- 72!- 8!- 1/1!- 57!-",
+    "3/3- 70+ 9+ 66+ 2/2- 4/4- 55!- 1/1- 88+ 1+ 2/2- 6/6!-",
+    "12+",
+    "47+",
+    "19+ 1/1-",
+    "210/6+",
+    "85+ 2-",
+    "26+ 2/2-",
+    "40+ 3/3-",
+    "58/2+ 1/1- 1/1-",
+    "14+ 5/5-",
+    "33+ 90+",
+    "15+ 24+",
+    "5+ 48+ 2+",
+    "24- 3- [ 2+ 1+ 4+ 3/3+ 6/6+ 5+ 2/2+ ] 60- 1/1- 44-",
+    "8- 17/1- [ 3/3+ 40+ 2+ 2/2+ 1+ 9/9+ 5/2+ 12/6+ ] 33- 5- 2-",
+    "55- [ 1+ ] 1-",
+    "2/2- 80- 6- [ 12+ 1+ 1/1+ 1+ 1/1+ 7+ 20/20+ ] 13- 70/2-",
+    "3/3- 12- 28- [ 6+ 150+ 4/4+ 5/5+ 4/4+ 3+ 8+ 2+ ] 9- 9- 19-",
+    "[ 5+ 3+ 2/2+ 8+ 3/3+ 9+ 1/1+ 3+ 4/3+ 6+ ] 35- 3- 36- 2/2-",
+    "4- 4/4- 41- [ 30/30+ 2+ 25/10+ 6+ 14/9+ ] 15- 100- 4-",
+    "10!- 2/2!- [ 3+ 7/7+ 1+ 18+ 2+ 2/2+ 5+ ] 22- 8/8- 27- 1-",
+    "1- 66- 7- [ 4+ 9+ 1+ 16/16+ 21+ 3+ 1/1+ ] 30/1- 6- 3/3-",
+    "21- 2- [ 8+ 1/1+ 1/1+ 1/1+ 4+ 110+ 2+ 6/6+ ] 90/3- 14-",
+    "15!- 1/1!- 5+ 45+ 2?- 8/8?- 6/6?- 52+ 14?- 20!- 30!- 3!-",
+    "7+ 60+ 33+ 26?- 3?- 4/4?- 48!- 25!- 31/1!- 2/2!- 1!-",
+    "4/4!- 22!- 64!- 9+ 51+ 28/1+ 11?- 7/7?- 19!- 17!-",
 ]
+_LABELLED_BLOCK = re.compile(r"(\d+)(?:/(\d+))?([?!]?)([-+])")
+
+
+def noted_page(page: str) -> tuple[list[Block], list[bool]]:
+    """Blocks (without text) and labels of a page in the notation of LABELLED_BLOCKS."""
+    found, labels, main = [], [], False
+    for part in page.split():
+        if part in "[]":
+            main = part == "["
+            continue
+        words, links, name, label = _LABELLED_BLOCK.fullmatch(part).groups()
+        found.append(Block("", int(words), int(links or 0) / int(words), main, " ?!".index(name or " ")))
+        labels.append(label == "+")
+    return found, labels
 
 
 def table() -> tuple[np.ndarray, np.ndarray]:
     """FEATURES and labels of all labelled blocks."""
-    rows = [(blocks(page), features(blocks(page))) for page in LABELLED]
-    x, y = [f[k : k + 1] for r, f in rows for k, b in enumerate(r) if not b[4]], [b[0][0] == "+" for r, _ in rows for b in r if not b[4]]
-    for page in LABELLED_BLOCKS:
-        found = [re.match(r"(\d+)(?:/(\d+))?([-+])", b) for b in page.split()]
-        x.append(features([("", int(m[1]), int(m[2] or 0) / int(m[1]), False, False) for m in found]))
-        y += [m[3] == "+" for m in found]
-    return np.concatenate(x), np.array(y)
+    pages = [(found, [b.text[0] == "+" for b in found]) for found in map(blocks, LABELLED)] + [noted_page(page) for page in LABELLED_BLOCKS]
+    return np.concatenate([features(found) for found, _ in pages]), np.concatenate([labels for _, labels in pages])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 3) -> dict | bool:
@@ -274,12 +341,11 @@ def trained() -> dict | bool:
 
 
 def main_text(page: str | None) -> str:
-    """The content blocks: of those beside nothing, all in the main element, or on a page without one those that the tree takes."""
+    """The blocks that the tree takes for content."""
     found = blocks(page or "")
     if not found:
         return ""
-    content = np.array([b[3] for b in found]) if any(b[3] for b in found) else classify(trained(), features(found))
-    return "\n".join(b[0] for b, yes in zip(found, content, strict=True) if yes and not b[4])
+    return "\n".join(b.text for b, content in zip(found, classify(trained(), features(found)), strict=True) if content)
 
 
 def extract(pages: DataFrame) -> DataFrame:
