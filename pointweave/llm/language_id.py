@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from pointweave.llm.common import slices, stored
 
-#: Words whose scores a worker keeps; then it starts anew.
-CACHE = 300_000
+#: A worker's memory by languages: numbers (one a word and language) that it keeps, after which it starts anew; those in one block of words, each
+#: of which takes as many numbers as a word has characters; those of one long word; and words with their weights in training.
+CACHE, BLOCK, LONG, WORDS = 1_200_000, 80_000, 8_000_000, 20_000
 #: Probability of a character that is no piece, and added expected count of each piece.
 UNKNOWN, ADDED = 1e-7, 0.05
 START = "▁"
@@ -114,7 +116,9 @@ class Pieces:
         if short:
             out[short] = self.forward_short([words[k] for k in short], probs)
         for k in long:
-            out[k] = self.forward_long(words[k], probs)[-1]
+            step = max(1, LONG // len(words[k]))
+            for a in range(0, probs.shape[1], step):
+                out[k, a : a + step] = self.forward_long(words[k], probs[:, a : a + step])[-1]
         return out
 
     def long_pieces(self, word: str) -> np.ndarray:
@@ -249,13 +253,17 @@ def train(docs: DataFrame, model_path: str) -> DataFrame:
             own: dict[str, int] = {}
             for word, _ in count:
                 own.setdefault(word, len(own))
-            weights = np.zeros((len(own), len(langs)))
-            for (word, lang), n in count.items():
-                weights[own[word], lang] += n
+            word, lang = (np.fromiter(x, dtype=np.int64, count=len(count)) for x in ((own[w] for w, _ in count), (k for _, k in count)))
+            times = np.fromiter(count.values(), dtype=float, count=len(count))
+            order = np.argsort(word, kind="stable")
+            word, lang, times = word[order], lang[order], times[order]
             total = np.pad(total, ((0, 0), (0, len(langs) - total.shape[1])))
             words = list(own)
-            for k in range(0, len(words), 20_000):
-                total += vocabulary.expected(words[k : k + 20_000], weights[k : k + 20_000], flat)
+            for k in range(0, len(words), WORDS):
+                a, b = np.searchsorted(word, (k, k + WORDS))
+                weights = np.zeros((min(WORDS, len(words) - k), len(langs)))
+                weights[word[a:b] - k, lang[a:b]] = times[a:b]
+                total += vocabulary.expected(words[k : k + WORDS], weights, flat)
 
         count: dict[tuple[str, int], int] = {}
         for batch in batches:
@@ -278,21 +286,24 @@ def train(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def probabilities(counts: DataFrame, model_path: str) -> tuple[list[str], np.ndarray]:
-    """Languages and the probability of each piece in each; the driver gets a number for each language and piece of the vocabulary.
+    """Languages and the probability of each piece in each; the driver gets a number for each language and piece of the vocabulary, a language at a time.
 
     Raises ValueError if there are over MOST_LANGS languages, as where the column holds something else."""
     counts = stored(counts, "piece-counts")
-    if (n := counts.select("lang").distinct().count()) > MOST_LANGS:
-        raise ValueError(f"{n} languages are more than {MOST_LANGS}")
-    rows = counts.toPandas()
-    langs = sorted(rows["lang"].unique())
-    size = pieces(model_path).size
-    n = np.full((size + 1, len(langs)), ADDED)
-    n[rows["piece"].to_numpy(), np.searchsorted(langs, rows["lang"].to_numpy(dtype=object))] += rows["n"].to_numpy()
+    langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").limit(MOST_LANGS + 1).collect()]
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
+    place = {lang: k for k, lang in enumerate(sorted(langs))}
+    n = np.full((pieces(model_path).size + 1, len(langs)), ADDED)
+    # a row has at most as many entries as the vocabulary
+    rows = counts.groupBy("lang").agg(F.collect_list("piece").alias("pieces"), F.collect_list("n").alias("n"))
+    for row in rows.toLocalIterator():
+        n[row.pieces, place[row.lang]] += row.n
     n[-1] = 0
-    probs = n / n.sum(axis=0) if langs else n
-    probs[-1] = UNKNOWN
-    return langs, probs
+    if langs:
+        n /= n.sum(axis=0)
+    n[-1] = UNKNOWN
+    return list(place), n
 
 
 class Scorer:
@@ -307,25 +318,34 @@ class Scorer:
         self.score = np.zeros((0, self.probs.shape[1]))
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text its log-probability under each language, and its number of words."""
+        """Of each text its log-probability under each language, and its number of words.
+
+        Words are scored in runs of the texts' words, each of as many as may be kept; a text may lie in several."""
         own = [words_of(t) for t in texts]
-        if len(self.place) > CACHE:
-            self.clear()
-        place, known = self.place, len(self.place)
-        flat = np.fromiter((place.setdefault(w, len(place)) for x in own for w in x), dtype=np.int64, count=sum(map(len, own)))
-        new = list(place)[known:]
-        if new:
-            scores = np.concatenate([self.pieces.forward(new[k : k + 20_000], self.probs) for k in range(0, len(new), 20_000)])
-            self.score = np.concatenate([self.score, scores])
+        langs = max(1, self.probs.shape[1])
         n = np.array([len(x) for x in own])
+        of, every = np.repeat(np.arange(len(own)), n), [w for x in own for w in x]
         out = np.zeros((len(own), self.probs.shape[1]))
-        some = np.flatnonzero(n)
-        if len(some):
-            starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+        run = max(1, CACHE // langs)
+        for a in range(0, len(every), run):
+            scores, of_run = self.words(every[a : a + run], langs), of[a : a + run]
+            first = np.flatnonzero(np.diff(of_run, prepend=-1))
             for lang in range(out.shape[1]):
-                out[some, lang] = np.add.reduceat(self.score[:, lang][flat], starts)
+                out[of_run[first], lang] += np.add.reduceat(self.score[scores, lang], first)
         return out, n
 
+    def words(self, words: list[str], langs: int) -> np.ndarray:
+        """Rows of self.score of the words."""
+        if len(self.place) * langs > CACHE:
+            self.clear()
+        place, known = self.place, len(self.place)
+        flat = np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int64, count=len(words))
+        new, step = list(islice(place, known, None)), max(1, BLOCK // langs)
+        if new:
+            scores = [self.pieces.forward(new[k : k + step], self.probs) for k in range(0, len(new), step)]
+            self.score = np.concatenate([self.score, *scores])
+        return flat
+
 
 def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, model_path: str) -> DataFrame:
     """doc_id, lang_pred and score (its posterior under equal priors) of each whole text.

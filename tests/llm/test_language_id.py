@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -118,3 +119,32 @@ def test_odd_rows(odd, none):
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
     assert li.identify(none, PATH).count() == 0
     assert {r.lang_pred for r in li.identify(odd.withColumn("lang", odd.lang.substr(9, 1)).replace("", None), PATH, training=none).collect()} == {"und"}
+
+
+def scorer(langs):
+    pieces = li.pieces(PATH)
+    probs = np.random.default_rng(1).dirichlet(np.ones(pieces.size), langs).T
+    return li.Scorer(PATH, np.vstack([probs, [li.UNKNOWN] * langs]))
+
+
+def test_small_blocks_give_the_same(monkeypatch):
+    texts = ["the nation of words " * 20, None, "größe été " + "a" * 300, "", "die wörter", " ".join(f"w{chr(97 + k % 26)}{'x' * (k % 30)}" for k in range(400))]
+    whole, n = scorer(3).texts(texts)
+    for name, value in (("CACHE", 40), ("BLOCK", 12), ("LONG", 400)):
+        monkeypatch.setattr(li, name, value)
+    again = scorer(3)
+    for _ in range(2):
+        parts, m = again.texts(texts)
+        assert np.allclose(parts, whole, rtol=1e-12) and list(m) == list(n) == [80, 0, 3, 0, 2, 400]
+        assert len(again.score) * 3 <= 2 * 40 + 3
+
+
+def test_memory_at_the_most_languages():
+    """Scoring takes less than 300 MB besides the probabilities, with as many languages as there may be and many different words."""
+    own = scorer(li.MOST_LANGS)
+    text = " ".join("".join(chr(97 + (k // 26**j) % 26) for j in range(4)) + "tion" * (k % 9) for k in range(1_500))
+    tracemalloc.start()
+    out, n = own.texts([text, "y" * 3_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n[0] == 1_500 and np.isfinite(out).all() and peak < 300e6, peak
