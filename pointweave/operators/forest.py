@@ -36,11 +36,22 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     each component, which names it, has sign 1. Edges with null ends or NaN or null weight, loops and repeated edges (of which the one
     with the larger weight counts) take no part.
     """
-    usable = edges.where("hi is not null and lo is not null and hi != lo and weight is not null and not isnan(weight)")
-    usable = usable.groupBy(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).agg(F.max("weight").cast("double").alias("weight"))
-    # u, v: the trees of both ends; s: the sign that u's root asks of v's root
-    asked = F.when(F.col("weight") < 0, -1).otherwise(1)
-    open_, seen = stored_with(usable.select(F.col("hi").alias("u"), F.col("lo").alias("v"), asked.alias("s"), "hi", "lo", "weight"), "open", n=F.count("*"))
+    return joined(usable(edges).select(F.col("hi").alias("u"), F.col("lo").alias("v"), asked().alias("s"), "hi", "lo", "weight"))
+
+
+def usable(edges: DataFrame) -> DataFrame:
+    """The edges that take part, each once."""
+    own = edges.where("hi is not null and lo is not null and hi != lo and weight is not null and not isnan(weight)")
+    return own.groupBy(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).agg(F.max("weight").cast("double").alias("weight"))
+
+
+def asked() -> Column:
+    return F.when(F.col("weight") < 0, -1).otherwise(1)
+
+
+def joined(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As spanning_forest, of trees: edges with u and v, the trees of both ends, and s, the sign that u's root asks of v's root. Nodes of the solution are the trees."""
+    open_, seen = stored_with(edges.select(EDGE), "open", n=F.count("*"))
     taken, trees = [], []
     for _ in range(MOST_ROUNDS):
         if not seen["n"]:
@@ -60,7 +71,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     else:
         raise RuntimeError("the forest did not settle")
     if not trees:
-        return usable.select("hi", "lo", "weight"), usable.select(F.col("hi").alias("node"), F.col("hi").alias("component"), F.lit(1).alias("sign"))
+        return open_.select("hi", "lo", "weight"), open_.select(F.col("u").alias("node"), F.col("u").alias("component"), F.lit(1).alias("sign"))
     forest = taken[0]
     for part in taken[1:]:
         forest = forest.union(part)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.operators import compare, components, forest, graph, knn, normals, ordered, ranking, refine, roof, segment, stats, transform, trust
+from pointweave.operators import compare, components, forest, graph, growing, knn, normals, ordered, ranking, refine, roof, segment, stats, transform, trust
 from pointweave.plans import orient
 from pointweave.schema import COLOR, NORMAL, XYZ, from_table
 from pointweave.shared import shared_dir, stored
@@ -81,6 +81,15 @@ def solved_e(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     return edges, *forest.spanning_forest(edges)
 
 
+def grown_e(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Forest and solution of cloud E's graph that came in three parts: edges among a third of the points, then those from it to the others, then the rest."""
+    edges, path = stored(edges_e(spark, sf), "edges"), f"{shared_dir(spark)}/growing-{uuid.uuid4().hex}"
+    inside = (F.pmod("hi", F.lit(3)) == 0).cast("int") + (F.pmod("lo", F.lit(3)) == 0).cast("int")
+    for part in (2, 1, 0):
+        forest_, solution = growing.grow(edges.where(inside == part), path)
+    return forest_, solution
+
+
 def mst_signs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(solved_e(spark, sf)[2])
 
@@ -251,6 +260,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "component_rank": lambda s, d: rounded(components.by_size(boxes_e(s, d)).select("component", "n", "comp_rank")),
     "largest_component": lambda s, d: orient.finished(points_e(s, d), RADIUS, strict=False).where("comp_rank = 0").select("id"),
     "max_spanning_forest": lambda s, d: rounded(solved_e(s, d)[1]),
+    "grown_forest": lambda s, d: rounded(grown_e(s, d)[0]),
+    "grown_signs": lambda s, d: rounded(grown_e(s, d)[1]),
     "mst_signs": mst_signs,
     "mst_unorientable": mst_unorientable,
     "model_energy": model_energy,
@@ -398,6 +409,8 @@ ORACLES: dict[str, str] = {
     "largest_component": f"WITH RECURSIVE {KRUSKAL} SELECT id FROM points JOIN ranked USING (component) WHERE comp_rank = 0",
     "max_spanning_forest": f"WITH RECURSIVE {KRUSKAL} SELECT hi, lo, round(weight, 6) AS weight FROM r JOIN k USING (q) WHERE taken",
     "mst_signs": f"WITH RECURSIVE {KRUSKAL} SELECT node, component, sign::BIGINT AS sign FROM solution",
+    "grown_forest": f"WITH RECURSIVE {KRUSKAL} SELECT hi, lo, round(weight, 6) AS weight FROM r JOIN k USING (q) WHERE taken",
+    "grown_signs": f"WITH RECURSIVE {KRUSKAL} SELECT node, component, sign::BIGINT AS sign FROM solution",
     "mst_unorientable": f"WITH RECURSIVE {KRUSKAL} SELECT count(*) FILTER (turn <> (CASE WHEN weight < 0 THEN -1 ELSE 1 END)) AS unorientable, count(*) AS edges FROM signed",
     "model_energy": f"WITH RECURSIVE {KRUSKAL} SELECT round(sum(-least(weight * turn, 0)), 6) AS energy, count(*) AS edges FROM signed WHERE weight <> 0",
     "apply_orientation": f"WITH RECURSIVE {KRUSKAL} SELECT id, coalesce(component, id) AS component, " + ", ".join(f"round({c} * coalesce(sign, 1), 6) AS {c}" for c in NORMAL) + " FROM e LEFT JOIN solution ON node = id",
