@@ -340,12 +340,16 @@ def trained() -> dict | bool:
     return grow(*table())
 
 
+def main_texts(pages: list[str | None]) -> list[str]:
+    """Of each page the blocks that the tree takes for content; it judges the blocks of all pages at once."""
+    found = [blocks(page or "") for page in pages]
+    rows = [features(own) for own in found if own]
+    content = iter(classify(trained(), np.concatenate(rows)).tolist() if rows else [])
+    return ["\n".join([b.text for b in own if next(content)]) for own in found]
+
+
 def main_text(page: str | None) -> str:
-    """The blocks that the tree takes for content."""
-    found = blocks(page or "")
-    if not found:
-        return ""
-    return "\n".join(b.text for b, content in zip(found, classify(trained(), features(found)), strict=True) if content)
+    return main_texts([page])[0]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -359,7 +363,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             pages_ = batch.column(2).to_pylist()
             for a, b in slices(pages_):
-                text = [main_text(p) for p in pages_[a:b]]
+                text = main_texts(pages_[a:b])
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
