@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pointweave.llm.common import arrow_map, slices
 
 SPACE = "▁"
-#: Chunks whose ids a worker keeps; then it starts anew.
+#: Parts whose ids a worker keeps, the latter half of them met of late; others are learned anew.
 CACHE = 400_000
-#: Words of fewer characters go through their agendas together.
+#: Parts of fewer characters go through their agendas together; longer ones are not kept.
 WIDEST = 28
+#: Characters that are cut at a time, and parts in a call of the library.
+CUT_TOGETHER, CHECKED_TOGETHER = 4_000_000, 500
 NEVER = 2**31 - 1
 
 
@@ -30,7 +32,7 @@ class PieceCodec:
     """The vocabulary of a merge-type model file, with an encoder and a decoder of its own.
 
     Two neighbouring characters that stand side by side in no piece can never be merged, so a text is cut there and every
-    chunk is encoded by itself; chunks that come again are looked up. `check` compares what is newly encoded with the
+    part is encoded by itself; parts that come again are looked up. `check` compares what is newly encoded with the
     sentencepiece library and raises ValueError at a difference.
     """
 
@@ -65,9 +67,21 @@ class PieceCodec:
             if len(x) == 1:
                 self.symbol[ord(x)] = i
         self.joined = {pair for piece in self.ids for pair in zip(piece, piece[1:], strict=False)}
-        self.words_apart = all(b != SPACE or a == SPACE for a, b in self.joined)
+        # characters that stand beside another in a piece have a kind each, the others share kind 0
+        beside = sorted({x for pair in self.joined for x in pair})
+        number = {x: k + 1 for k, x in enumerate(beside)}
+        self.kind = np.zeros(0x110000, dtype=np.int32)
+        self.kind[[ord(x) for x in beside]] = np.arange(1, len(beside) + 1)
+        self.kinds = len(beside) + 1
+        self.together = np.sort(np.array([number[a] * self.kinds + number[b] for a, b in self.joined], dtype=np.int64))
+        self.is_together = np.zeros(self.kinds**2, dtype=bool) if self.kinds <= 5000 else None
+        if self.is_together is not None:
+            self.is_together[self.together] = True
+        # stands between parts that are checked together
+        self.between = next(x for x in chain("\n", map(chr, range(0xE000, 0xF900))) if x not in number)
         self.csv: dict[str, str] = {}
-        self.odd: dict[str, str] = {}  # decoded text of words that don't come back as they were
+        self.earlier: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # decoded text of parts that don't come back as they were
         self.parts: dict[str, list[int]] = {}
 
     def merge(self, symbols: str) -> list[int]:
@@ -147,70 +161,74 @@ class PieceCodec:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[at] == key, self.pair_piece[at], -1)
 
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """merge() of many words of at most WIDEST characters: their agendas advance together, a best pair of each word at a time."""
-        out: list[list[int]] = [[] for _ in words]
+    def merge_all(self, parts: list[str]) -> list[list[int]]:
+        """merge() of many parts: the agendas of those of one length advance together, a best pair of each at a time."""
         if not len(self.pair_key):
-            return [self.merge(w) for w in words]
-        lengths = np.array([len(w) for w in words])
-        low = 0
-        for wide in (6, 9, 13, 18, WIDEST):
-            rows = np.flatnonzero((lengths > low) & (lengths <= wide))
-            low = wide
-            if not len(rows):
-                continue
-            code = np.frombuffer("".join(words[k].ljust(wide, "\0") for k in rows).encode("utf-32-le"), dtype="<u4").reshape(len(rows), wide)
+            return [self.merge(x) for x in parts]
+        out: list[list[int]] = [[] for _ in parts]
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        for wide in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == wide)
+            code = np.frombuffer("".join([parts[k] for k in rows.tolist()]).encode("utf-32-le"), dtype="<u4").reshape(len(rows), wide)
             symbols = self.symbol[code]
-            n = lengths[rows].copy()
-            made = np.full((len(rows), wide), -1, dtype=np.int64)
-            made[:, :-1] = self.pair_pieces(symbols[:, :-1], symbols[:, 1:])
-            made[np.arange(wide)[None, :] >= (n - 1)[:, None]] = -1
+            made = self.pair_pieces(symbols[:, :-1], symbols[:, 1:])
             rank = self.rank[made]
-            done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            place = np.arange(wide)
             while len(rows):
-                best = rank.argmin(axis=1)  # the leftmost of equal ones
-                each = np.arange(len(rows))
-                go = rank[each, best] < NEVER
+                n = symbols.shape[1]
+                if n > 1:
+                    best = rank.argmin(axis=1)  # the leftmost of equal ones
+                    go = rank[np.arange(len(rows)), best] < NEVER
+                else:
+                    go = np.zeros(len(rows), dtype=bool)
                 if not go.all():
-                    done.append((rows[~go], symbols[~go], n[~go]))
-                    rows, symbols, made, rank, n, best = rows[go], symbols[go], made[go], rank[go], n[go], best[go]
-                    if not len(rows):
+                    for k, x in zip(rows[~go].tolist(), symbols[~go].tolist(), strict=True):
+                        out[k] = x
+                    if n == 1 or not go.any():
                         break
-                    each = np.arange(len(rows))
+                    rows, symbols, made, rank, best = rows[go], symbols[go], made[go], rank[go], best[go]
+                each = np.arange(len(rows))
                 symbols[each, best] = made[each, best]
-                # what stands after the merged pair moves one place to the left
-                source = np.minimum(place[None, :] + (place[None, :] > best[:, None]), wide - 1)
-                symbols = np.take_along_axis(symbols, source, 1)
-                made = np.take_along_axis(made, source, 1)
-                rank = np.take_along_axis(rank, source, 1)
-                n -= 1
+                # the right symbol of the merged pair goes, and so does the pair's place
+                stays = np.ones(symbols.shape, dtype=bool)
+                stays[each, best + 1] = False
+                symbols = symbols[stays].reshape(len(rows), n - 1)
+                stays = np.ones(made.shape, dtype=bool)
+                stays[each, best] = False
+                made, rank = made[stays].reshape(len(rows), n - 2), rank[stays].reshape(len(rows), n - 2)
                 for at in (best - 1, best):  # the pairs on both sides of the new symbol
-                    there = np.flatnonzero((at >= 0) & (at < n - 1))
+                    there = np.flatnonzero((at >= 0) & (at < n - 2))
                     k = at[there]
                     made[there, k] = found = self.pair_pieces(symbols[there, k], symbols[there, k + 1])
                     rank[there, k] = self.rank[found]
-                gone = np.flatnonzero(best >= n - 1)
-                made[gone, best[gone]], rank[gone, best[gone]] = -1, NEVER
-                made[each, n - 1], rank[each, n - 1] = -1, NEVER
-            for own, found, size in done:
-                for k, x, m in zip(own.tolist(), found.tolist(), size.tolist(), strict=True):
-                    out[k] = x[:m]
         first = self.first
         for k, x in enumerate(out):
-            if x and max(x) >= first:
+            if max(x) >= first:
                 out[k] = [i for y in x for i in ([y] if y < first else [self.byte_ids[b] for b in chr(y - first).encode()] if self.byte_ids else [self.unknown])]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.csv) + len(words) > CACHE:
-            self.csv.clear()
-            self.odd.clear()
-            self.parts.clear()
-        short = [w for w in words if len(w) < WIDEST]
-        long = [w for w in words if len(w) >= WIDEST]
+    def compare(self, parts: list[str], ids: list[list[int]], back: list[str]) -> None:
+        """ValueError unless the library gives these ids and texts of the parts, put side by side with a character between them that joins none."""
+        x = self.between
+        between, head = self.merge(x), self.merge(SPACE)
+        for k in range(0, len(parts), CHECKED_TOGETHER):
+            own = list(head)
+            for found in ids[k : k + CHECKED_TOGETHER]:
+                own += between
+                own += found
+            text = x + x.join(parts[k : k + CHECKED_TOGETHER])
+            decoded = " " + self.pieces_text(between) + self.pieces_text(between).join(back[k : k + CHECKED_TOGETHER])
+            if own != self.library.encode(text) or self.library.decode(own) != decoded.removeprefix(" "):
+                raise ValueError(f"the agenda and the library differ on parts of {text[:200]!r}")
+
+    def learn(self, parts: set[str]) -> list[str]:
+        """Ids and decoded texts of parts, from those kept earlier or anew; returns the parts that are too long to be kept for good."""
+        again = parts & self.earlier.keys()
+        self.csv.update((w, self.earlier[w]) for w in again)
+        parts = parts - again
+        short = [w for w in parts if len(w) < WIDEST]
+        long = [w for w in parts if len(w) >= WIDEST]
         own = short + long
-        ids = self.merge_all([SPACE + w for w in short]) + [self.chunk_ids(SPACE + w) for w in long]
+        ids = self.merge_all(short) + [self.merge(w) for w in long]
         texts, back = self.quick, []
         for x in ids:
             try:
@@ -218,35 +236,48 @@ class PieceCodec:
             except KeyError:
                 back.append(self.pieces_text(x))
         if self.check:
-            for k in range(0, len(own), 5000):
-                flat = list(chain.from_iterable(ids[k : k + 5000]))
-                text = " ".join(own[k : k + 5000])
-                if flat != self.library.encode(text) or self.library.decode(flat) != "".join(back[k : k + 5000]).removeprefix(" "):
-                    raise ValueError(f"the agenda and the library differ on words of {text[:200]!r}")
+            self.compare(own, ids, back)
         names = self.names.__getitem__
         self.csv.update((w, ",".join(map(names, x))) for w, x in zip(own, ids, strict=True))
-        self.odd.update((w, t) for w, t in zip(own, back, strict=True) if t[1:] != w)
+        self.odd.update((w, t) for w, t in zip(own, back, strict=True) if t != w.replace(SPACE, " "))
+        return long
+
+    def cut(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """The parts of all texts in a row, and how many there are up to the end of each text."""
+        whole = "".join([SPACE + t.replace(" ", SPACE) for t in texts if t])
+        stops = np.cumsum([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
+        apart = np.ones(len(whole) + 1, dtype=bool)  # before each character, and at the end
+        for k in range(0, len(whole), CUT_TOGETHER):
+            kind = self.kind[np.frombuffer(whole[k : k + CUT_TOGETHER + 1].encode("utf-32-le"), dtype="<u4")]
+            pair = kind[:-1].astype(np.int64) * self.kinds + kind[1:]
+            apart[k + 1 : k + 1 + len(pair)] = ~(np.isin(pair, self.together) if self.is_together is None else self.is_together[pair])
+        apart[stops] = True
+        places = np.flatnonzero(apart)
+        at = places.tolist()
+        return [whole[a:b] for a, b in pairwise(at)], np.searchsorted(places, stops).tolist()
 
     def digest(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by commas, decoded text) of each text."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            parts = text.split(" ") if text and self.words_apart and SPACE not in text else [""]
-            split.append(None if "" in parts else parts)
-        for _ in range(2):  # once more if the store started anew
-            if new := set(filterfalse(self.csv.__contains__, chain.from_iterable(filter(None, split)))):
-                self.learn(new)
-        csv, out = self.csv.__getitem__, []
-        for text, parts in zip(texts, split, strict=True):
-            if parts:
-                joined = ",".join(map(csv, parts))
-                decoded = text if self.odd.keys().isdisjoint(parts) else "".join([self.odd.get(w, " " + w) for w in parts]).removeprefix(" ")
+        parts, limits = self.cut(texts)
+        new = set(filterfalse(self.csv.__contains__, parts))
+        if len(self.csv) + len(new) > CACHE // 2:
+            self.earlier, self.csv = self.csv, {}
+            self.odd = {w: t for w, t in self.odd.items() if w in self.earlier}
+            new = set(parts)
+        long = self.learn(new)
+        csv, odd, out, low = self.csv.__getitem__, self.odd, [], 0
+        for text, high in zip(texts, limits, strict=True):
+            own = parts[low:high]
+            low = high
+            joined = ",".join(map(csv, own))
+            if not odd or odd.keys().isdisjoint(own):
+                decoded = text.replace(SPACE, " ")
             else:
-                ids = self.encode(text)
-                joined, decoded = ",".join(map(str, ids)), self.decode(ids)
-                if self.check and (ids != self.library.encode(text) or decoded != self.library.decode(ids)):
-                    raise ValueError(f"the agenda and the library differ on {text[:80]!r}")
+                decoded = "".join([odd.get(w) or w.replace(SPACE, " ") for w in own]).removeprefix(" ")
             out.append((joined.count(",") + 1 if joined else 0, joined, decoded))
+        for w in long:
+            self.csv.pop(w, None)
+            self.odd.pop(w, None)
         return out
 
 
