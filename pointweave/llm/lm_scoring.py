@@ -13,10 +13,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -46,29 +47,40 @@ SHARD_TOKENS, MOST_SHARDS, WEIGHT_PARTS = 2_000_000, 1 << 16, 64
 BATCH, RATE = 4096, 0.3
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lower-case words (bytes) of binary texts in a row, and how many each text has; null has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string()).fill_null("")))
+    flat, n = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at an end of a text has an empty word beside it
+    if pc.sum(full).as_py() != len(flat):
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)], minlength=len(n))
+        flat = flat.filter(full)
+    return flat.view(pa.binary()), n
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (lower-case bytes) and its number in all documents, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                summed = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+                yield from summed.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
+                held.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                count.update((text or b"").translate(_LOWER_CASE).split())
-                if len(count) > CACHE:
-                    yield out()
-                    count.clear()
-        if count:
-            yield out()
+            counted = words_of(batch.column(0))[0].value_counts()
+            held.append(pa.table({"word": counted.field("values"), "n": counted.field("counts")}))
+            if sum(map(len, held)) > CACHE:
+                yield from out()
+        yield from out()
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def hash_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+hash_of = xxhash.xxh3_64_intdigest
 
 
 def shared_class(hashes: np.ndarray) -> np.ndarray:
@@ -96,7 +108,7 @@ def counts(counted: DataFrame) -> Counts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w for w, _ in frequent}
         for batch in batches:
-            pairs = [(hash_of(w), n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known]
+            pairs = [(hash_of(w), n) for w, n in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns), strict=True) if w not in known]
             h, n = np.array([x for x, _ in pairs], dtype=np.uint64), np.array([x for _, x in pairs], dtype=np.int64)
             common = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(shared_class(h)), pa.array(np.where(common, h, 0).view(np.int64)), pa.array(common), pa.array(n)], ["class", "hash", "common", "n"])
@@ -131,15 +143,17 @@ class Words(dict):
         self.new.append(word)
         return k
 
-    def learn(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Numbers of all words in a row; the columns then have them all."""
+    def learn(self, flat: pa.Array) -> np.ndarray:
+        """Numbers of words (bytes) in a row; the columns then have them all."""
         if len(self) > CACHE:
             self.empty()
-        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=sum(map(len, texts)))
+        found = flat.dictionary_encode()
+        different = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist()
+        ids = np.fromiter(map(self.__getitem__, different), dtype=np.int64, count=len(different))
         if self.new:
             own, known = self.new, self.known
             h = np.fromiter(map(hash_of, own), dtype=np.uint64, count=len(own))
-            of = np.fromiter((self.number.get(w, 0) for w in own), dtype=np.int64, count=len(own))
+            of = np.fromiter(map(self.number.get, own, repeat(0)), dtype=np.int64, count=len(own))
             frequent = of > 0
             of = np.where(frequent, of, shared_class(h))
             size = np.log(np.maximum(known.tokens[of], 1))
@@ -152,10 +166,10 @@ class Words(dict):
             spelled = np.log(DISCOUNT * np.maximum(known.words[of], 1)) - size - (length + 1) * math.log(SYMBOLS)
             self.columns = [np.concatenate(x) for x in zip(self.columns, (of, share, h, size, spelled), strict=True)]
             self.new = []
-        return ids
+        return ids.take(found.indices.to_numpy())
 
     def classes(self, texts: list[list[bytes]]) -> np.ndarray:
-        ids = self.learn(texts)
+        ids = self.learn(pa.array(chain.from_iterable(texts), pa.binary()))
         return self.columns[0][ids]
 
 
@@ -169,7 +183,7 @@ def windows(classes: np.ndarray, n: np.ndarray) -> np.ndarray:
     padded = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
     at = np.arange(int(n.sum())) + np.repeat(2 * SIDE * np.arange(len(n)) + SIDE, n)
     padded[at] = classes
-    return np.column_stack([padded[at + k] for k in (0, *range(-SIDE, 0), *range(1, SIDE + 1))])
+    return np.column_stack([padded.take(at + k) for k in (0, *range(-SIDE, 0), *range(1, SIDE + 1))])
 
 
 class Network:
@@ -194,17 +208,19 @@ class Network:
         return net
 
     @staticmethod
-    def softmax(z: np.ndarray) -> np.ndarray:
-        """Log-probabilities from rows of scores, in place."""
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+    def chosen(z: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P of place k[i] of each column i of scores, and the columns' totals; the columns become their probabilities times these totals."""
+        z -= z.max(axis=0)
+        own = z[k, np.arange(len(k))]
+        np.exp(z, out=z)
+        total = z.sum(axis=0)
+        return own - np.log(total), total
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
         t, b = self.parts[:2]
-        h = t[0][rows[:, 1]]
+        h = t[0].take(rows[:, 1], axis=0)
         for k in range(1, 2 * SIDE):
-            h += t[k][rows[:, 1 + k]]
+            h += t[k].take(rows[:, 1 + k], axis=0)
         h += b
         return np.tanh(h, out=h)
 
@@ -214,49 +230,52 @@ class Network:
         order = np.argsort(group, kind="stable")
         return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
 
+    def scores(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A column for each row of the hidden layer: scores of the groups, and of the classes in the row's own group."""
+        _, _, a, a0, b, b0 = self.parts
+        z = a.T @ h.T
+        z += a0[:, None]
+        y = np.empty((IN_GROUP, len(h)), dtype=np.float32)
+        for g in range(GROUPS):
+            lo, hi = starts[g], starts[g + 1]
+            if lo < hi:
+                y[:, lo:hi] = b[g].T @ h[lo:hi].T
+                y[:, lo:hi] += b0[g][:, None]
+        return z, y
+
     def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
         """log P(class | neighbours' classes) of each row of windows()."""
-        _, _, a, a0, b, b0 = self.parts
         out = np.empty(len(rows), dtype=np.float32)
-        for k in range(0, len(rows), 1 << 15):
-            part = rows[k : k + (1 << 15)]
+        for k in range(0, len(rows), 1 << 13):
+            part = rows[k : k + (1 << 13)]
             order, starts = self.by_group(part)
-            part = part[order]
-            h = self.hidden(part)
-            found = self.softmax(h @ a + a0)[np.arange(len(part)), part[:, 0] // IN_GROUP]
-            for g in range(GROUPS):
-                lo, hi = starts[g], starts[g + 1]
-                if lo < hi:
-                    found[lo:hi] += self.softmax(h[lo:hi] @ b[g] + b0[g])[np.arange(hi - lo), part[lo:hi, 0] % IN_GROUP]
-            out[k + order] = found
+            part = part.take(order, axis=0)
+            z, y = self.scores(self.hidden(part), starts)
+            out[k + order] = self.chosen(z, part[:, 0] // IN_GROUP)[0] + self.chosen(y, part[:, 0] % IN_GROUP)[0]
         return out
 
     def train(self, rows: np.ndarray, square: list[np.ndarray], rate: float = RATE) -> float:
         """One pass over rows of windows(), in their order, by Adagrad (square: its sums, kept between calls); returns the mean loss."""
-        _, _, a, a0, b, b0 = self.parts
+        _, _, a, _, b, b0 = self.parts
         loss = 0.0
         for k in range(0, len(rows), BATCH):
             part = rows[k : k + BATCH]
             order, starts = self.by_group(part)
-            part = part[order]
-            each, group = np.arange(len(part)), part[:, 0] // IN_GROUP
+            part = part.take(order, axis=0)
+            n, each = np.float32(len(part)), np.arange(len(part))
             h = self.hidden(part)
-            z = self.softmax(h @ a + a0)
-            loss -= float(z[each, group].sum())
-            np.exp(z, out=z)
-            z[each, group] -= 1
-            z /= len(part)
-            gh, gb, gb0 = z @ a.T, np.zeros_like(b), np.zeros_like(b0)
+            z, y = self.scores(h, starts)
+            for x, own in ((z, part[:, 0] // IN_GROUP), (y, part[:, 0] % IN_GROUP)):
+                found, total = self.chosen(x, own)
+                loss -= float(found.sum())
+                x /= total * n
+                x[own, each] -= 1 / n
+            gh, gb, gb0 = z.T @ a.T, np.zeros_like(b), np.zeros_like(b0)
             for g in range(GROUPS):
                 lo, hi = starts[g], starts[g + 1]
                 if lo < hi:
-                    y, inner = self.softmax(h[lo:hi] @ b[g] + b0[g]), part[lo:hi, 0] % IN_GROUP
-                    loss -= float(y[np.arange(hi - lo), inner].sum())
-                    np.exp(y, out=y)
-                    y[np.arange(hi - lo), inner] -= 1
-                    y /= len(part)
-                    gb[g], gb0[g] = h[lo:hi].T @ y, y.sum(axis=0)
-                    gh[lo:hi] += y @ b[g].T
+                    gb[g], gb0[g] = (y[:, lo:hi] @ h[lo:hi]).T, y[:, lo:hi].sum(axis=1)
+                    gh[lo:hi] += y[:, lo:hi].T @ b[g].T
             gh *= 1 - h * h
             gt = np.zeros_like(self.parts[0])
             for p in range(2 * SIDE):
@@ -264,8 +283,9 @@ class Network:
                 order = np.argsort(near, kind="stable")
                 near = near[order]
                 first = np.concatenate([[0], np.flatnonzero(near[1:] != near[:-1]) + 1])
-                gt[p][near[first]] = np.add.reduceat(gh[order], first)
-            for x, s, d in zip(self.parts, square, (gt, gh.sum(axis=0), h.T @ z, z.sum(axis=0), gb, gb0), strict=True):
+                # two sums at a time
+                gt[p][near[first]] = np.add.reduceat(gh.take(order, axis=0).view(np.complex64), first).view(np.float32)
+            for x, s, d in zip(self.parts, square, (gt, gh.sum(axis=0), (z @ h).T, z.sum(axis=1), gb, gb0), strict=True):
                 s += d * d
                 x -= rate * d / np.sqrt(s)
         return loss / max(1, len(rows))
@@ -321,9 +341,10 @@ def fit(docs: DataFrame, known: Counts) -> Network:
             square = [np.full_like(p, 1e-4) for p in own.parts]
             seen = 0
             for texts in together(batches):
-                parts = split(texts)
-                found = windows(words.classes(parts), np.array([len(x) for x in parts], dtype=np.int64))
-                own.train(found[np.random.default_rng(seen).permutation(len(found))], square, RATE / (1 + round_))
+                flat, n = words_of(pa.array(texts, pa.binary()))
+                ids = words.learn(flat)
+                found = windows(words.columns[0][ids], n)
+                own.train(found.take(np.random.default_rng(seen).permutation(len(found)), axis=0), square, RATE / (1 + round_))
                 seen += len(found)
             if seen:
                 cut = [x.tobytes() for x in np.array_split(own.flat, WEIGHT_PARTS)]
@@ -361,9 +382,8 @@ def partial_scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                parts = split(texts[a:b])
-                n = np.array([len(x) for x in parts], dtype=np.int64)
-                ids = words.learn(parts)
+                flat, n = words_of(batch.column(1).slice(a, b - a))
+                ids = words.learn(flat)
                 of, share, hashes, size, spelled = words.columns
                 each = net.log_probabilities(windows(of[ids], n)).astype(float)
                 own = share[ids]

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,35 @@ def test_worker_forgets_words(spark, documents, monkeypatch):
     want = [words.classes([t]).tolist() for t in texts]
     monkeypatch.setattr(lm, "CACHE", 10)
     assert [words.classes([t]).tolist() for t in texts] == want
+
+
+def test_words_of():
+    """The words of texts in Arrow are those of split(): any white space, nulls, bytes that are no UTF-8, a slice of a column."""
+    texts = [None, b"", b" ", b"  A b\n\x0bC\x0c", b"x", b"\xc3\x89\xff Z\x1c\x00\xa0y ", b"\t\r\n", b"a  a"]
+    for low, high in ((0, 8), (2, 6), (0, 0)):
+        words, n = lm.words_of(pa.array(texts, pa.binary()).slice(low, high - low))
+        want = lm.split(texts[low:high])
+        assert words.to_pylist() == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_gradient_of_all_weights():
+    """One step of train() is a step of Adagrad along the gradient, found by differences of the loss."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, lm.CLASSES, (50, 5))
+    start = (rng.standard_normal(sum(map(math.prod, lm.Network.SHAPES))) * 0.3).astype(np.float32)
+    net = lm.Network(start.copy())
+    square = [np.zeros_like(p) for p in net.parts]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        loss = net.train(rows, square)
+    assert loss == pytest.approx(-lm.Network(start).log_probabilities(rows).mean(), rel=1e-4)
+
+    def loss_of(part, at, by):
+        moved = lm.Network(start.copy())
+        moved.parts = [p.astype(float) for p in moved.parts]
+        moved.parts[part][at] += by
+        return -np.mean([brute_log_p(moved, r[0], r[1:]) for r in rows])
+
+    for part, s in enumerate(square):
+        at = np.unravel_index(np.argmax(s), s.shape)
+        slope = (loss_of(part, at, 1e-4) - loss_of(part, at, -1e-4)) / 2e-4
+        assert math.sqrt(s[at]) == pytest.approx(abs(slope), rel=1e-2)
