@@ -148,7 +148,7 @@ class Words(dict):
         if len(self) > CACHE:
             self.empty()
         found = flat.dictionary_encode()
-        different = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist()
+        different = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() makes a scalar of each
         ids = np.fromiter(map(self.__getitem__, different), dtype=np.int64, count=len(different))
         if self.new:
             own, known = self.new, self.known
