@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from pointweave.operators.ranking import ranked
 from pointweave.schema import COLOR, NORMAL, XYZ
@@ -22,22 +22,14 @@ from pointweave.sources.clouds import RECORD
 HEADER_PROPERTIES = [("float", "x"), ("float", "y"), ("float", "z"), ("float", "nx"), ("float", "ny"), ("float", "nz"), ("uchar", "red"), ("uchar", "green"), ("uchar", "blue")]
 
 
+@F.pandas_udf(StringType())
+def six_digits(x: pd.Series) -> pd.Series:
+    return pd.Series(["%.6g" % v for v in x.tolist()], dtype="object")
+
+
 def number(name: str) -> Column:
-    """Up to six significant digits (halves away from zero), without trailing zeros: plain between 1e-4 and 1e6, else with an exponent of two digits or more."""
-    x = F.col(name).cast("double")
-
-    def shown(e: Column) -> Column:
-        """e: the number with five decimals and its exponent, which says how many decimals are significant."""
-        exponent = F.regexp_extract(e, r"e([-+]\d+)$", 1)
-        power = exponent.try_cast("int")
-        places = F.concat(F.lit("%."), (F.lit(5) - power).cast("string"), F.lit("f"))
-        fixed = F.call_function("format_string", places, x)
-        fixed = F.when(F.contains(fixed, F.lit(".")), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
-        short = F.concat(F.regexp_replace(F.regexp_extract(e, r"^(.*)e", 1), r"\.?0+$", ""), F.lit("e"), exponent)
-        return F.when((power < -4) | (power >= 6), short).otherwise(fixed)
-
-    text = F.transform(F.array(F.format_string("%.5e", x)), shown)[0]
-    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, "0").otherwise(text)
+    """Up to six significant digits of the exact value (exact halves to the even digit, as C's %.6g), without trailing zeros: plain between 1e-4 and 1e6, else with an exponent of two digits or more."""
+    return F.when(F.col(name).isNotNull(), six_digits(F.col(name).cast("double")))
 
 
 def rows_text(cloud: DataFrame) -> Column:

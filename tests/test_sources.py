@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from makers import frame, sphere
@@ -57,6 +58,15 @@ def test_numbers_as_text(spark):
     assert [r.t for r in rows] == [f"{v:.6g}" for v in values]
 
 
+def test_halves_as_text(spark):
+    """Halves of the sixth digit that a float holds exactly go to the even digit, as in SQL; decimals that only look like halves go where their exact value lies."""
+    values = [0.01171875, 0.1015625, 0.1171875, -4.640625, 2.328125, 0.0048828125, 0.1234565, 1.0000005, 100000.5, 100001.5, 9.999995e-05, 1.234565e-30, -0.0, float("inf")]
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, px double")
+    got = [r.t for r in table.select("id", sinks.number("px").alias("t")).orderBy("id").collect()]
+    want = duckdb.sql(f"SELECT format('{{:.6g}}', v) FROM (SELECT unnest({[str(v) for v in values]}::DOUBLE[]) AS v)").fetchall()
+    assert got == [w[0] for w in want] == [f"{v:.6g}" for v in values]
+
+
 def test_segment_records(spark, tmp_path):
     r = np.zeros(3, dtype=clouds.SEGMENT_RECORD)
     r["p"][:, 0], r["c"], r["segment"] = [1, 2, 3], 200, [7, 8, 9]
