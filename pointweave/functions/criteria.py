@@ -48,11 +48,12 @@ def vote(name: str, a: str, b: str, radius: float) -> Column:
 
 
 def votes_of(name: str, point: np.ndarray, others: np.ndarray, d2: np.ndarray, radius: float) -> np.ndarray:
-    """vote() between a point and others, as arrays (px, py, pz, nx, ny, nz)."""
-    dot = point[3] * others[:, 3] + point[4] * others[:, 4] + point[5] * others[:, 5]
+    """vote() between a point, or a point for each of the others, and others, as arrays (px, py, pz, nx, ny, nz)."""
+    own = point.T
+    dot = own[3] * others[:, 3] + own[4] * others[:, 4] + own[5] * others[:, 5]
     if criterion(name) is xie:
-        x, y, z = (point[:3] - others[:, :3]).T
+        x, y, z = (point[..., :3] - others[:, :3]).T
         length2 = x * x + y * y + z * z
-        along, along_others = x * point[3] + y * point[4] + z * point[5], x * others[:, 3] + y * others[:, 4] + z * others[:, 5]
+        along, along_others = x * own[3] + y * own[4] + z * own[5], x * others[:, 3] + y * others[:, 4] + z * others[:, 5]
         dot = np.where(length2 > 0, dot - 2.0 * along * along_others / np.where(length2 > 0, length2, 1.0), dot)
     return dot * (1.0 - d2 / (radius * radius))

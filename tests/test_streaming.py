@@ -41,6 +41,26 @@ def test_votes_as_arrays(spark):
             assert segments.votes_of(name, rows[r.a_id], rows[r.b_id][None], np.array([r.d2]), 0.5)[0] == r.vote
 
 
+def test_nearest_before_in_dense_clouds():
+    """The stream's search against brute force, also with ties, many points at one place and far out; in a dense cloud it does not look at all pairs within the radius."""
+    rng = np.random.default_rng(0)
+    for n, points in ((300, rng.normal(0, 0.1, (300, 3))), (200, rng.integers(0, 4, (200, 3)) * 0.25), (150, np.zeros((150, 3))), (100, rng.uniform(-1, 1, (100, 3)) * 1e12), (0, np.zeros((0, 3)))):
+        ids = rng.permutation(n)
+        order = np.lexsort((ids, points[:, 0]))
+        points, ids = points[order], ids[order]
+        want = []
+        for a in range(n // 3, n):
+            d = points[a] - points[:a]
+            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            want += [(a, b, d2[b]) for b in [b for b in np.lexsort((ids[:a], d2)) if d2[b] < 0.25][:6]]
+        assert list(zip(*(x.tolist() for x in segments.nearest_before(points, ids, n // 3, 6, 0.5)), strict=True)) == want
+    points = rng.normal(0, 0.1, (60_000, 3))
+    points = points[np.argsort(points[:, 0])]
+    start = time.process_time()
+    a, _, _ = segments.nearest_before(points, np.arange(60_000), 0, 6, 0.5)
+    assert len(a) > 359_000 and time.process_time() - start < 60  # 10^9 pairs are within the radius
+
+
 def in_x_order(spark, cloud, path):
     """The cloud as binary records in x order, whose ids are the records' numbers."""
     ranks = ranking.ranked(cloud, [F.col("px"), F.col("id")], "ord").withColumn("id", F.col("ord") - 1).drop("ord")
