@@ -35,13 +35,13 @@ def reached(side: str, axis: str, radius: float) -> Column:
     return F.sequence(F.floor((x - F.lit(radius)) / F.lit(radius)), F.floor((x + F.lit(radius)) / F.lit(radius)))
 
 
-def sided(cloud: DataFrame, side: str) -> DataFrame:
-    return cloud.select(*(F.col(c).alias(f"{side}_{c}") for c in CARRIED if c in cloud.columns))
+def sided(cloud: DataFrame, side: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return cloud.select(*by, *(F.col(c).alias(f"{side}_{c}") for c in CARRIED if c in cloud.columns))
 
 
-def candidate_pairs(points: DataFrame, cloud: DataFrame, radius: float, causal: bool) -> DataFrame:
-    """Pairs a (of points), b (of cloud) of different ids with d2 < radius squared; causal: b stands before a by (px, id)."""
-    asks = sided(points, "a")
+def candidate_pairs(points: DataFrame, cloud: DataFrame, radius: float, causal: bool, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs a (of points), b (of cloud) of different ids, and the same in the columns by, with d2 < radius squared; causal: b stands before a by (px, id)."""
+    asks = sided(points, "a", by)
     for axis in XYZ:
         asks = asks.withColumn(f"cell_{axis}", F.explode(reached("a", axis, radius)))
     # of the cells in the ball's box only those that the ball itself reaches
@@ -51,8 +51,9 @@ def candidate_pairs(points: DataFrame, cloud: DataFrame, radius: float, causal:
         short = F.greatest(low - x, x - low - F.lit(radius), F.lit(0.0))
         gap = gap + short * short
     asks = asks.where(gap <= F.lit(radius * radius * (1 + 1e-9)))
-    answers = sided(cloud, "b").withColumns({f"cell_{axis}": F.floor(F.col(f"b_{axis}").cast("double") / F.lit(radius)) for axis in XYZ})
-    pairs = asks.join(answers, [f"cell_{axis}" for axis in XYZ]).drop(*(f"cell_{axis}" for axis in XYZ)).withColumn("d2", squared_distance("a", "b"))
+    answers = sided(cloud, "b", by).withColumns({f"cell_{axis}": F.floor(F.col(f"b_{axis}").cast("double") / F.lit(radius)) for axis in XYZ})
+    met = [*by, *(f"cell_{axis}" for axis in XYZ)]
+    pairs = asks.join(answers, met).drop(*met).withColumn("d2", squared_distance("a", "b"))
     apart = F.col("a_id") != F.col("b_id")
     if causal:
         apart = (F.col("b_px") < F.col("a_px")) | ((F.col("b_px") == F.col("a_px")) & (F.col("b_id") < F.col("a_id")))
@@ -72,31 +73,37 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def neighbours(cloud: DataFrame, k: int, radius: float, causal: bool = False) -> DataFrame:
+def neighbours(cloud: DataFrame, k: int, radius: float, causal: bool = False, asks: DataFrame | None = None) -> DataFrame:
     """The k nearest points within the radius of each point, ties by id: a_* and b_* columns (id, position, normal), d2, rank.
 
-    causal: only points that stand before it in x order (then id). Points without id or with a null, NaN or infinite
+    causal: only points that stand before it in x order (then id). asks: those of the cloud's points whose neighbours are wanted, if not all. Points without id or with a null, NaN or infinite
     position take no part. Ids are taken to be unique; a repeated id counts as one point per row among the answers.
     """
     check(k, radius)
-    points = usable(cloud).select([c for c in CARRIED if c in cloud.columns])
-    place = F.row_number().over(Window.partitionBy(*XYZ).orderBy("id"))
+    carried = [c for c in CARRIED if c in cloud.columns]
+    points = usable(cloud).select(carried)
+    return searched(points if asks is None else usable(asks).select(carried), points, k, radius, causal)
+
+
+def searched(asks: DataFrame, points: DataFrame, k: int, radius: float, causal: bool, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest of points to each that asks, among those that are the same in the columns by."""
+    place = F.row_number().over(Window.partitionBy(*by, *XYZ).orderBy("id"))
     answers = points.withColumn("_place", place).where(F.col("_place") <= k + 1).drop("_place")
-    crowd = points.groupBy(*(cell(a, radius) for a in XYZ)).count().agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("c")).first().c or 0
+    crowd = points.groupBy(*by, *(cell(a, radius).alias(a) for a in XYZ)).count().agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("c")).first().c or 0
     radii, r = [radius], radius
     while crowd > CROWDED and len(radii) <= MOST_HALVINGS:
         r, crowd = r / 2, crowd / 4  # by 4 rather than 8: clouds are mostly surfaces
         radii.insert(0, r)
     found = None
     for r in radii:
-        near = nearest(candidate_pairs(points, answers, r, causal), k)
+        near = nearest(candidate_pairs(asks, answers, r, causal, by), k)
         if r == radius:
             return near if found is None else found.unionByName(near)
         near = stored(near, "near")
         done = near.where(F.col("rank") == k).select(F.col("a_id").alias("id"))
         whole = near.join(done.withColumnRenamed("id", "a_id"), "a_id", "left_semi")
         found = whole if found is None else found.unionByName(whole)
-        points = stored(points.join(done, "id", "left_anti"), "unfinished")
+        asks = stored(asks.join(done, "id", "left_anti"), "unfinished")
     raise AssertionError
 
 
@@ -113,17 +120,10 @@ def knn_causal(cloud: DataFrame, k: int, radius: float) -> DataFrame:
 
 
 def cell_neighbours(cloud: DataFrame, k: int, radius: float, key: Column) -> DataFrame:
-    """As neighbours, but only among points with the same key (such as slice and Morton cell), and without normals."""
+    """As neighbours, but only among points with the same key (such as slice and Morton cell; null is none), and without normals."""
     check(k, radius)
     points = usable(cloud).select(*CARRIED[:4], key.alias("_key"))
-    place = F.row_number().over(Window.partitionBy("_key", *XYZ).orderBy("id"))
-    answers = points.withColumn("_place", place).where(F.col("_place") <= k + 1)
-    a = points.select(*(F.col(c).alias(f"a_{c}") for c in CARRIED[:4]), "_key", *(cell(x, radius).alias(f"_{x}") for x in XYZ))
-    for axis in XYZ:
-        a = a.withColumn(f"_{axis}", F.explode(reached("a", axis, radius)))
-    b = answers.select(*(F.col(c).alias(f"b_{c}") for c in CARRIED[:4]), "_key", *(cell(x, radius).alias(f"_{x}") for x in XYZ))
-    pairs = a.join(b, ["_key", *(f"_{x}" for x in XYZ)]).withColumn("d2", squared_distance("a", "b"))
-    return nearest(pairs.where((F.col("a_id") != F.col("b_id")) & (F.col("d2") < F.lit(radius * radius))), k)
+    return searched(points, points, k, radius, False, ("_key",))
 
 
 def knn_cell(cloud: DataFrame, k: int, radius: float, key: Column) -> DataFrame:

@@ -1,6 +1,9 @@
+import time
+
 import numpy as np
 import pytest
 from makers import frame
+from pyspark.sql import functions as F
 
 from pointweave.operators import knn
 
@@ -48,3 +51,20 @@ def test_edges_of_input(spark):
     for k, r in ((0, 1.0), (1, 0.0)):
         with pytest.raises(ValueError):
             knn.knn_global(odd, k, r)
+
+
+def test_cells_in_dense_clouds(spark):
+    """Neighbours of the same key only, like brute force; in a dense cloud few pairs are looked at (2 * 10^8 are within the radius, which the sort would hold), points at one place and null keys included."""
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(0, 0.05, (200, 3)), np.zeros((30, 3))])
+    cloud = frame(spark, points, points)
+    key = F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 3)
+    got = {(r.src, r["rank"]): r.dst for r in knn.knn_cell(cloud, 5, 1.0, key).collect()}
+    rows, want = [tuple(r) for r in cloud.collect()], {}
+    for c in range(3):
+        want |= {k: v[0] for k, v in brute([r for r in rows if r[0] % 7 and r[0] % 3 == c], 5, 1.0).items()}
+    assert got == want
+    dense = frame(spark, rng.normal(0, 0.1, (15_000, 3)), np.zeros((15_000, 3)))
+    start = time.perf_counter()
+    assert knn.knn_cell(dense, 5, 1.0, F.lit(1)).count() == 75_000
+    assert time.perf_counter() - start < 100
