@@ -34,12 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more."""
     for table in tables:
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            remove(table.sparkSession, folder)
 
 
 def stored_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:

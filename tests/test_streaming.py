@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pointweave import queries
 from pointweave.operators import graph, knn, ranking, segment, transform
 from pointweave.plans import orient
+from pointweave.shared import shared_dir
 from pointweave.sources import clouds, sinks
 from pointweave.streaming import orient as stream_orient
 from pointweave.streaming import segments, sweep
@@ -30,6 +31,30 @@ def test_sweep_finds_what_the_batch_finds(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, knn.knn_causal(cloud, 6, 0.5).collect()))
 
 
+def test_sweep_goes_on_and_makes_no_pairs_beyond_k(spark, tmp_path):
+    """In a dense cloud, stopped halfway and out of order within a radius: the batch's neighbours; only each point's k nearest are ever written, and the points kept lie within two radii."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 0.2, (1500, 3))
+    points[:40] = points[0]  # many at one place
+    order = np.argsort(points[:, 0] + rng.uniform(-0.1, 0.1, 1500))
+    cloud, folder, name = frame(spark, points, points), str(tmp_path / "points"), f"test-{tmp_path.name}"
+    for k, part in enumerate(np.array_split(order, 3)):
+        cloud.where(F.col("id").isin(part.tolist())).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+        if k:
+            stream = spark.readStream.schema(cloud.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            got = knn.as_knn(sweep.run_sweep(stream, name, 6, 0.5, -2.0)).collect()
+            here = cloud.where(F.col("id").isin(np.concatenate(np.array_split(order, 3)[: k + 1]).tolist()))
+            assert sorted(map(tuple, got)) == sorted(map(tuple, knn.knn_causal(here, 6, 0.5).collect()))
+    base = f"{shared_dir(spark)}/{name}"
+    written = spark.read.parquet(f"{base}/near")
+    assert written.count() <= 6 * 1500 and written.groupBy("a_id").count().where("count > 6").isEmpty()
+    assert sorted(sweep.folders(spark, f"{base}/held")) == [1, 2]
+    width = spark.read.parquet(f"{base}/held").groupBy("batch").agg((F.max("px") - F.min("px")).alias("w")).collect()
+    assert all(r.w <= 1.0 for r in width)
+    assert sorted(map(tuple, knn.as_knn(sweep.run_sweep(stream, name, 6, 0.5, -2.0)).collect())) == sorted(map(tuple, got))
+
+
 def test_votes_as_arrays(spark):
     """The arrays' votes are the columns'."""
     (p, n), rng = sphere(40), np.random.default_rng(3)
