@@ -55,6 +55,16 @@ def test_sweep_goes_on_and_makes_no_pairs_beyond_k(spark, tmp_path):
     assert sorted(map(tuple, knn.as_knn(sweep.run_sweep(stream, name, 6, 0.5, -2.0)).collect())) == sorted(map(tuple, got))
 
 
+def test_sweep_of_records_in_a_dense_cloud(spark, tmp_path):
+    """From records, so many a batch: the batch's neighbours, and no more rows written than k a point (a point has some 500 others within the radius)."""
+    points, path = np.random.default_rng(6).normal(0, 0.2, (2000, 3)), f"file://{tmp_path}/records"
+    cloud = in_x_order(spark, frame(spark, points, points), path)
+    got = knn.as_knn(sweep.run_sweep(clouds.read_bin_stream(spark, path, 700), f"test-{tmp_path.name}", 6, 0.5, -2.0)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, knn.knn_causal(cloud, 6, 0.5).collect()))
+    base = f"{shared_dir(spark)}/test-{tmp_path.name}"
+    assert max(sweep.folders(spark, f"{base}/near")) == 2 and spark.read.parquet(f"{base}/near").count() <= 6 * 2000
+
+
 def test_votes_as_arrays(spark):
     """The arrays' votes are the columns'."""
     (p, n), rng = sphere(40), np.random.default_rng(3)
