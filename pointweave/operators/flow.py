@@ -8,8 +8,7 @@ other are cut side by side: small ones in tasks of bounded size, by the same pha
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +16,11 @@ from pyspark.sql import functions as F
 from pointweave.operators.components import connected
 from pointweave.shared import forget, looked_up, stored, stored_with
 
-#: The sink among the nodes, which are not negative; and the least amount of flow that counts.
-SINK, LEAST = -1, 1e-12
+#: The sink among the nodes, which are not negative, the source in tasks; and the least amount of flow that counts.
+SINK, SOURCE, LEAST = -1, -2, 1e-12
 MOST_PHASES, MOST_LEVELS = 1_000, 100_000
-#: Arcs of a part that a task cuts by itself, and about those of all parts that it is given.
-SMALL = 20_000
+#: Arcs of a part that a task cuts by itself (some 100 bytes each, and as much for the rows), and about those that it is given of smaller parts.
+SMALL, BUNDLE = 2_000_000, 200_000
 
 
 def levels(arcs: DataFrame, active: DataFrame | None, n: int) -> tuple[DataFrame, int]:
@@ -55,46 +54,59 @@ def arrived(push: DataFrame) -> DataFrame:
     return push.where(F.col("v") != SINK).select(F.col("v").alias("u"), F.col("p").alias("e"))
 
 
-def cut_here(arcs: dict[int, dict[int, float]], excess: dict[int, float]) -> set[int]:
-    """sink_side() of a graph in memory: residuals by node and next node."""
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, count of them, one range after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def cut_here(u: np.ndarray, v: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """sink_side() of a graph in memory: arcs u, v (SINK, or a node) and r; what the source gives to a node has SOURCE as v. Each pair stands once.
+
+    Phases as by joins, a level at a time as arrays: the arcs of a level's nodes that go down are taken in turns, each node's first arc, then each one's second."""
+    nodes = np.unique(np.concatenate([u, v[v >= 0]]))
+    n, at = len(nodes), np.searchsorted(nodes, u)
+    excess, to_sink = (np.bincount(at[v == end], weights=r[v == end], minlength=n) for end in (SOURCE, SINK))
+    inner = v >= 0
+    tail, head, own = at[inner], np.searchsorted(nodes, v[inner]), r[inner]
+    key = np.unique(np.concatenate([tail * n + head, head * n + tail]))  # both directions, in order of tail and head
+    rest = np.bincount(np.searchsorted(key, tail * n + head), weights=own, minlength=len(key))
+    tail, head = np.divmod(key, max(n, 1))
+    back = np.searchsorted(key, head * n + tail)
+    first = np.searchsorted(tail, np.arange(n + 1))
     while True:
-        back = defaultdict(list)
-        for u, out in arcs.items():
-            for v, r in out.items():
-                if r > LEAST:
-                    back[v].append(u)
-        level, last, depth = {SINK: 0}, [SINK], 0
-        while last:
-            last = list(dict.fromkeys(u for v in last for u in back[v] if u not in level))
+        level = np.zeros(n, dtype=np.int64)
+        last = np.flatnonzero(to_sink > LEAST)
+        depth = 0
+        while len(last):
             depth += 1
-            level |= dict.fromkeys(last, depth)
-        if not any(e > LEAST and u in level for u, e in excess.items()):
-            return set(level) - {SINK}
-        for u in sorted(level, key=lambda u: (-level[u], u)):
-            for v in sorted(arcs.get(u, ())):
-                p = min(arcs[u][v], excess.get(u, 0.0)) if level.get(v, -1) == level[u] - 1 else 0.0
-                if p > LEAST:
-                    arcs[u][v] -= p
-                    excess[u] -= p
-                    if v != SINK:
-                        excess[v] = excess.get(v, 0.0) + p
-                        arcs.setdefault(v, {})[u] = arcs.get(v, {}).get(u, 0.0) + p
+            level[last] = depth
+            arcs = spread(first[last], first[last + 1] - first[last])
+            last = np.unique(head[arcs[(rest[back[arcs]] > LEAST) & (level[head[arcs]] == 0)]])
+        if not ((excess > LEAST) & (level > 0)).any():
+            return nodes[level > 0]
+        down = np.flatnonzero((level[tail] == level[head] + 1) & (level[head] > 0) & (rest > LEAST))
+        turn = np.arange(len(down)) - np.searchsorted(tail[down], tail[down])
+        step = (depth - level[tail[down]]) * (turn.max(initial=0) + 1) + turn
+        order = np.argsort(step, kind="stable")
+        for arcs in np.split(down[order], np.flatnonzero(np.diff(step[order])) + 1):
+            arcs = arcs[excess[tail[arcs]] > LEAST]
+            given = np.minimum(rest[arcs], excess[tail[arcs]])
+            rest[arcs] -= given
+            rest[back[arcs]] += given
+            excess[tail[arcs]] -= given
+            np.add.at(excess, head[arcs], given)
+        given = np.where(to_sink > LEAST, np.minimum(excess, to_sink), 0.0)
+        excess, to_sink = excess - given, to_sink - given
 
 
 def cut_in_tasks(rows: DataFrame, n: int) -> DataFrame:
     """u of sink_side() for parts of the graph that are small; rows: part, u, v (null for excess) and r, n of them."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        arcs, excess = defaultdict(dict), {}
-        for u, v, given, r in zip(own["u"].tolist(), own["v"].tolist(), own["given"].tolist(), own["r"].tolist(), strict=True):
-            if given:
-                excess[u] = r
-            else:
-                arcs[u][v] = r
-        return pd.DataFrame({"u": sorted(cut_here(dict(arcs), excess))}, dtype="int64")
-
-    bundle = F.pmod(F.xxhash64("part"), F.lit(max(1, -(-n // SMALL))))
-    own = rows.select(bundle.alias("bundle"), "u", F.coalesce("v", F.lit(0)).alias("v"), F.col("v").isNull().alias("given"), "r")
+        return pd.DataFrame({"u": cut_here(own["u"].to_numpy(), own["v"].to_numpy(), own["r"].to_numpy())}, dtype="int64")
+
+    bundle = F.pmod(F.xxhash64("part"), F.lit(max(1, -(-n // BUNDLE))))
+    own = rows.select(bundle.alias("bundle"), "u", F.coalesce("v", F.lit(SOURCE).cast("long")).alias("v"), "r")
     return own.groupBy("bundle").applyInPandas(run, "u long")
 
 
@@ -106,6 +118,9 @@ def sink_side(arcs: DataFrame, excess: DataFrame) -> DataFrame:
     """
     arcs = stored(arcs.groupBy("u", "v").agg(F.sum("r").cast("double").alias("r")), "arcs")
     every = arcs.union(excess.groupBy("u").agg(F.sum("e").cast("double").alias("r")).select("u", F.lit(None).cast("long").alias("v"), "r"))
+    every, seen = stored_with(every, "every", n=F.count("*"))
+    if seen["n"] <= min(SMALL, BUNDLE):  # one task's work, whatever the parts are
+        return cut_in_tasks(every.withColumn("part", F.lit(0).cast("long")), seen["n"])
     tied = connected(arcs.where(F.col("v") != SINK).select(F.col("u").alias("a"), F.col("v").alias("b")))
     rows, seen = stored_with(every.join(tied.withColumnRenamed("node", "u"), "u", "left").select("u", "v", "r", F.coalesce("component", "u").alias("part")), "rows", n=F.count("*"))
     sizes, most = stored_with(rows.groupBy("part").agg(F.count("*").alias("n")), "sizes", n=F.max("n"))
