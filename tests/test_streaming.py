@@ -56,7 +56,7 @@ def test_sweep_goes_on_and_makes_no_pairs_beyond_k(spark, tmp_path):
 
 
 def test_sweep_of_records_in_a_dense_cloud(spark, tmp_path):
-    """From records, so many a batch: the batch's neighbours, and no more rows written than k a point (a point has some 500 others within the radius)."""
+    """From records, so many a batch: the batch's neighbours, and no more rows written than k a point (there are 1,246,438 pairs within the radius)."""
     points, path = np.random.default_rng(6).normal(0, 0.2, (2000, 3)), f"file://{tmp_path}/records"
     cloud = in_x_order(spark, frame(spark, points, points), path)
     got = knn.as_knn(sweep.run_sweep(clouds.read_bin_stream(spark, path, 700), f"test-{tmp_path.name}", 6, 0.5, -2.0)).collect()
